@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language_id, quality_nbsvm, quality_rules, sharding
+from . import bpe, decontaminate, language_id, near_dup, quality_nbsvm, quality_rules, sharding, warc
 from .common import table
 
 
+def op1_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive(table(spark, sf_dir, "pages"))
+
+
 def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality_nbsvm.fit(docs, table(spark, sf_dir, "labels"))
@@ -25,6 +29,14 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op6_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.clusters(table(spark, sf_dir, "documents"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
@@ -34,5 +46,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op2_quality_nbsvm, op3_language_id, op4_byte_bpe, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_nbsvm, op3_language_id, op4_byte_bpe, op6_minhash_hamming, op7_decontaminate, op8_sharding, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
