@@ -9,8 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null doc_id: such rows sort after all others.
-NO_ID = 2**63 - 1
+#: Keys from here on stand for null ids, one for each text; ids are below it.
+NO_ID = 2**62
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,15 +62,19 @@ def text_of(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, th, text): k orders documents, th tells apart texts under one id. Equal rows are the same document."""
-    k = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.select(k.alias("k"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text"))
+def key(id_col: str, text_col: str) -> Column:
+    """Orders documents: the id, or for a null id a number above all ids that the text decides."""
+    return F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64(text_of(text_col)), 2))
+
+
+def key_columns(id_col: str, text_col: str) -> list[Column]:
+    """k, th, text: k orders documents, th tells apart texts under one id. Equal rows are the same document."""
+    return [key(id_col, text_col).alias("k"), F.xxhash64(text_of(text_col)).alias("th"), text_of(text_col).alias("text")]
 
 
 def id_of(column: str = "k") -> Column:
-    """The document id behind a key."""
-    return F.when(F.col(column) != F.lit(NO_ID), F.col(column))
+    """The document id behind a key; null for a key that stands for a null id."""
+    return F.when(F.col(column) < F.lit(NO_ID), F.col(column))
 
 
 def keep_fraction(bound: int, total: int) -> float:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import NO_ID, drop_stash, id_of, stash, text_of
+from .common import drop_stash, id_of, key, stash, text_of
 from .components import components
 
 SLOTS, CHUNK, MAX_DIFFERENT = 48, 4, 23
@@ -88,7 +88,7 @@ def describe(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
                 packed = signatures(grams, bounds)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.diff(bounds)), *sums, pa.array([row.tobytes() for row in packed], pa.binary())], names=["k", "n", "s1", "s2", "signature"])
 
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), text_of(text_col).alias("text")).mapInArrow(run, "k long, n long, s1 long, s2 long, signature binary")
+    return docs.select(key(id_col, text_col).alias("k"), text_of(text_col).alias("text")).mapInArrow(run, "k long, n long, s1 long, s2 long, signature binary")
 
 
 def _keys(sets: DataFrame) -> DataFrame:
@@ -206,17 +206,17 @@ def _across(buckets: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
-    """(k, n_shingles, component) for every row; k is the id, with NO_ID for null.
+    """(k, n_shingles, component) for every row; k is the id, or a key above all ids for null.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. A text of fewer words than a shingle has all of them as its one
-    shingle; a null or empty text, or one of blanks, has none and is a component of its own. Rows that share an id (null
-    ids among them) get the smallest component that a row of that id is in.
+    shingle; a null or empty text, or one of blanks, has none and is a component of its own. Rows that share an id get the
+    smallest component that a row of that id is in; rows with a null id are told apart by their texts.
     """
     described = stash(describe(docs, id_col, text_col, size), "near-sets")
     equal = described.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("k").alias("rep"), F.first("signature").alias("signature"))
     equal = stash(equal, "near-equal")  # one row for each different set
     sets = equal.groupBy(F.col("rep").alias("k")).agg(F.first("signature").alias("signature"))
-    one = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("k"), text_of(text_col).alias("text"))
+    one = docs.select(key(id_col, text_col).alias("k"), text_of(text_col).alias("text"))
     keys = stash(_keys(equal.select(F.col("rep").alias("k"), "signature")).distinct(), "near-keys")
     least = keys.groupBy("key").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("key", "a")
     stars = keys.join(least, "key").where("k > a").select("a", F.col("k").alias("b")).distinct()
@@ -246,8 +246,10 @@ def clusters(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the rows whose document is not the first of its component. Of rows that repeat an id all stay."""
+    """docs without the rows whose document is not the first of its component. Of rows that repeat an id all stay.
+
+    A column named k may be among those of docs.
+    """
     found = near_duplicates(docs, id_col, text_col, size, percent)
-    gone = found.where("k <> component").select("k").distinct()
-    key = F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID))
-    return docs.join(gone, key == F.col("k"), "left_anti")
+    gone = found.where("k <> component").select(F.col("k").alias("_near_k")).distinct()
+    return docs.join(gone, key(id_col, text_col) == F.col("_near_k"), "left_anti")

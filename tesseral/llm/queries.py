@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language_id, near_dup, quality_nbsvm, quality_rules, sharding, warc
+from . import bpe, decontaminate, language_id, near_dup, quality_nbsvm, quality_rules, sharding, substring_fm, substring_runs, warc
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"))
 
 
+def op5_substring_fm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_fm.digest(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_hamming(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.clusters(table(spark, sf_dir, "documents"))
 
@@ -41,10 +45,14 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_substring_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_runs.remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality_rules.judge(docs, quality_rules.fit(docs, table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_nbsvm, op3_language_id, op4_byte_bpe, op6_minhash_hamming, op7_decontaminate, op8_sharding, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op1_warc_revisits, op2_quality_nbsvm, op3_language_id, op4_byte_bpe, op5_substring_fm, op6_minhash_hamming, op7_decontaminate, op8_sharding, op9_substring_runs, op10_quality_rules)}
 ORACLES: dict[str, str] = {}
