@@ -1,4 +1,7 @@
 """All queries of the engine's own operators, with the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from . import evaluation
+
+_FAMILIES = (evaluation,)
+QUERIES: dict = {name: f for m in _FAMILIES for name, f in m.R.queries.items()}
+ORACLES: dict[str, str] = {name: sql for m in _FAMILIES for name, sql in m.R.oracles.items()}
