@@ -119,3 +119,40 @@ def signature_hint(text) -> Column:
     """The first line with a parenthesis that is no comment and no directive, without a brace at its end."""
     found = F.filter(F.transform(F.split(col(text), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("//") & ~x.startswith("/*") & ~x.startswith("*") & ~x.startswith("#") & x.contains("("))
     return F.trim(F.regexp_replace(F.try_element_at(found, F.lit(1)), r"\{+$", ""))
+
+
+def drop_second_main(text) -> Column:
+    """The text before the second main function."""
+    pattern = r"\b(?:int|void)\s+main\s*\("
+    head = F.regexp_extract(col(text), rf"(?s)^(.*?{pattern}.*?){pattern}", 1)
+    return F.when(head != "", F.regexp_replace(head, r"\s+$", "")).otherwise(col(text))
+
+
+def first_fence(text) -> Column:
+    """The first closed fence of any language, else the text."""
+    found = F.regexp_extract_all(col(text), F.lit(r"(?s)```(?:[a-zA-Z0-9_+-]+)?\n(.*?)```"), F.lit(1))
+    return F.coalesce(F.try_element_at(found, F.lit(1)), col(text))
+
+
+def is_stub(text, language) -> Column:
+    """The evaluation's rule: the first fence counts, and a scaffold left to do with hardly more than pass is a stub too."""
+    code = first_fence(text)
+    kept = F.filter(lines(code), lambda x: ~F.trim(x).startswith("#") & ~F.trim(x).startswith("//"))
+    trimmed = F.transform(kept, lambda x: F.trim(x))
+    head = F.coalesce(F.try_element_at(trimmed, F.lit(1)), F.lit(""))
+    inner = F.lower(F.trim(F.array_join(F.when(head.startswith("def ") | head.startswith("class "), F.slice(trimmed, 2, 1000000)).otherwise(trimmed), " ")))
+    left = F.length(F.trim(F.replace(inner, F.lit("pass"), F.lit(""))))
+    scaffold = (F.lower(col(language)) == "python") & code.rlike(r"(?i)#\s*TODO[: ]\s*Implement") & inner.contains("pass") & (left < 30)
+    return stub_reason(code, language).isNotNull() | scaffold
+
+
+def reframe(text, language, cwe) -> Column:
+    """A prompt for a model that only goes on: the fenced body behind a comment that names the weakness."""
+    mark = F.when(col(language) == "python", "# ").otherwise("// ")
+    return F.concat(mark, F.lit("Secure against "), col(cwe), F.lit("\n"), first_fence(text))
+
+
+def with_exemplar(text, exemplar, instruction: str | None = None) -> Column:
+    """A retrieved exemplar, or else an instruction, in front of the prompt; nothing where there is neither."""
+    shown = F.concat(F.lit("Example of a secure solution:\n"), col(exemplar), F.lit("\n\n"))
+    return F.concat(F.coalesce(shown, F.lit("" if instruction is None else instruction + "\n\n")), col(text))

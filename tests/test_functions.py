@@ -116,3 +116,16 @@ def test_code_walks():
 def test_hash_vector():
     v = code.hash_vector("a", 64)
     assert len(v) == 64 and math.isclose(sum(x * x for x in v), 1) and code.hash_vector("a") == code.hash_vector("a")
+
+
+def test_more_code_rules(spark):
+    two = "int main() { a(); }\nint main() { b(); }"
+    assert values(spark, text.drop_second_main("x"), [two, "int main() { }", "x"]) == ["int main() { a(); }", "int main() { }", "x"]
+    py = F.lit("python")
+    assert values(spark, text.is_stub("x", py), ["t\n```python\ndef compute_all(values):\n    # TODO: Implement\n    total = 0\n    pass\n```", "```python\ndef compute(x):\n    y = x * 2\n    return y + 1\n```"]) == [True, False]
+    assert values(spark, text.reframe("x", py, F.lit("CWE-79")), ["a\n```\nb\n```"]) == ["# Secure against CWE-79\nb\n"]
+    assert values(spark, text.with_exemplar(F.lit("p"), "x", "Be safe."), ["e", None]) == ["Example of a secure solution:\ne\n\np", "Be safe.\n\np"]
+    assert code.splice("int g();\nvoid f(int x) { y(); }\nend", "f") == ("int g();\nvoid f(int x) {", " y(); ", "}\nend") and code.splice("x", "f") is None
+    found = code.marked_split("#include <a>\n// BEGIN PROMPT\ndo it\n// BEGIN SOLUTION\nint f(char *s) { return '}' == *s; }\nint g() {}")
+    assert found == {"prompt": "do it", "signature": "int f(char *s)", "prefix": "#include <a>", "suffix": "\nint g() {}"} and code.marked_split("x") is None
+    assert spark.range(1).select(code.spliced(F.lit("f() { a }"), F.lit("f")).alias("s")).first().s == ["f() {", " a ", "}"]
