@@ -156,12 +156,12 @@ _V = "CAST({0}.embedding AS DOUBLE[])"
 _COS = "list_dot_product({a}, {b}) / sqrt(list_dot_product({a}, {a}) * list_dot_product({b}, {b}))"
 
 
-@query(f"WITH s AS (SELECT a.vec_id, round({_COS.format(a=_V.format('a'), b=_V.format('b'))}, 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 10) SELECT vec_id, sim, sim > 0.95 AS copied, round(CASE WHEN sim > 0.95 THEN 0.0 ELSE 0.1 * sim END, 6) AS r_rag FROM s")
+@query(f"WITH s AS (SELECT a.vec_id, round({_COS.format(a=_V.format('a'), b=_V.format('b'))}, 6) AS sim FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id - a.vec_id % 10) SELECT vec_id, sim, sim > 0.95 AS copied, round(CASE WHEN sim > 0.95 THEN 0.0 ELSE 0.1 * sim END, 8) AS r_rag FROM s")
 def copy_guard_reward(spark, sf_dir):
     """RWD4, MTH3."""
     e = table(spark, sf_dir, "embeddings")
     j = e.select("vec_id", (F.col("vec_id") - F.col("vec_id") % 10).alias("to"), F.col("embedding").alias("a")).join(e.select(F.col("vec_id").alias("to"), F.col("embedding").alias("b")), "to")
-    return j.select("vec_id", F.round(cosine("a", "b"), 6).alias("sim")).select("vec_id", "sim", (F.col("sim") > 0.95).alias("copied"), F.round(reward.retrieval("sim"), 6).alias("r_rag"))
+    return j.select("vec_id", F.round(cosine("a", "b"), 6).alias("sim")).select("vec_id", "sim", (F.col("sim") > 0.95).alias("copied"), F.round(reward.retrieval("sim"), 8).alias("r_rag"))
 
 
 _TOKS = "regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*|[0-9]+')"
