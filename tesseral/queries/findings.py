@@ -233,7 +233,7 @@ def nearest_same_label(spark, sf_dir):
 def nearest_in_group(rows, group: str, id_col: str, vector: str, block: int = 1024):
     """Each row's nearest other row of its group. Groups are cut in blocks, and every pair of blocks is a task of its own."""
     sized = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
-    r = rows.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vector).alias("v")).join(F.broadcast(sized.withColumnRenamed(group, "g")), "g")
+    r = rows.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vector).alias("v")).join(sized.withColumnRenamed(group, "g"), "g")
     r = r.withColumn("own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     left = r.select("g", F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("b"), F.lit(True).alias("asks"), "id", "v")
     right = r.select("g", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("a"), F.col("own").alias("b"), F.lit(False).alias("asks"), "id", "v")
@@ -277,7 +277,7 @@ def leave_one_out_prototype(spark, sf_dir):
     """ARR4, TXT12: the mean of the others as totals less the own vector."""
     e = table(spark, sf_dir, "embeddings")
     size = e.select(F.size("embedding").alias("n")).first()["n"]
-    j = e.join(F.broadcast(retrieval.vector_sums(e, "label", "embedding", size)), "label").where("n > 1")
+    j = e.join(retrieval.vector_sums(e, "label", "embedding", size), "label").where("n > 1")
     mean = F.transform(minus("total", "embedding"), lambda x: x / (F.col("n") - 1))
     return j.select("vec_id", "embedding", mean.alias("m")).select("vec_id", F.round(dot("embedding", unit("m")), 5).alias("proto"))
 
@@ -290,7 +290,7 @@ def signed_token_weights(spark, sf_dir):
     sign = F.when(F.col("quality") == 1, 1).otherwise(-1)
     t = d.select("doc_id", "cell", sign.alias("own"), F.explode(F.array_distinct(F.split(F.lower("text"), " "))).alias("term"))
     w, n = t.groupBy("cell", "term").agg(F.sum("own").alias("s")), d.groupBy("cell").agg(F.countDistinct("doc_id").alias("n"))
-    j = t.join(w, ["cell", "term"]).join(F.broadcast(n), "cell")
+    j = t.join(w, ["cell", "term"]).join(n, "cell")
     return j.groupBy("doc_id").agg((F.sum((F.col("s") - F.col("own")) / F.greatest(F.lit(1.0), F.col("n") - 1)) / F.sqrt(F.greatest(F.lit(1), F.count("*")))).alias("x")).select("doc_id", F.round("x", 5).alias("lexproto"))
 
 
