@@ -7,8 +7,9 @@ turn enumerates all chunk errors, so such a pair shares one of 48 keys for certa
 
 Pairs of a bucket are never all emitted. First every member is compared with the bucket's smallest id; links that hold
 on the full sets join components. Only buckets that still span components are looked at again, in blocks, for pairs of
-different components whose signatures are close enough; those that hold join components in a second pass. So no link
-that could join two components is missed, and a group of copies costs one comparison for each member.
+different components whose signatures are close enough and whose sketches leave a link open; those that hold on the full
+sets join components in a second pass. So no link that could join two components is missed (but for the odds of the
+signatures and sketches), and a group of copies costs one comparison for each member.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ SLOTS, CHUNK, MAX_DIFFERENT = 48, 4, 23
 #: Members of a bucket that one task compares with each other at a time, and rows of a hot set that one task verifies.
 BLOCK = 2048
 SALT_ROWS = 512
+#: Least hashes of a set that stand for it where buckets span components; smaller sets are held whole.
+SKETCH = 256
 
 _rng = np.random.default_rng(6)
 _MULTIPLY = (_rng.integers(1, 2**63, SLOTS, dtype=np.uint64) << K.U(1)) | K.U(1)
@@ -91,15 +94,65 @@ def describe(docs: DataFrame, id_col: str, text_col: str, size: int) -> DataFram
     return docs.select(key(id_col, text_col).alias("k"), text_of(text_col).alias("text")).mapInArrow(run, "k long, n long, s1 long, s2 long, signature binary")
 
 
-def _keys(sets: DataFrame) -> DataFrame:
-    def run(batches):
+def _buckets(sets: DataFrame) -> DataFrame:
+    """(key, k, a) for every key that two or more of the sets have; a is its least k.
+
+    One shuffle of the keys; each partition is read sorted, so a key's first row and its next one decide.
+    """
+
+    def enumerate_keys(batches):
         for batch in batches:
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 signature = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(-1, SLOTS)
                 yield pa.RecordBatch.from_arrays([K.signed(keys_of(signature).reshape(-1)), pa.array(np.repeat(part.column(0).to_numpy(), SLOTS))], names=["key", "k"])
 
-    return sets.select("k", "signature").mapInArrow(run, "key long, k long")
+    def shared(batches):
+        last = None  # key, first k, whether the first row was given out
+        for batch in batches:
+            key, k = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            if not len(key):
+                continue
+            if last is not None:  # the open key's first row stands before the batch
+                key, k = np.concatenate([[last[0]], key]), np.concatenate([[last[1]], k])
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            heads = np.flatnonzero(new)
+            head = heads[np.cumsum(new) - 1]
+            many = np.diff(np.append(heads, len(key)))[np.cumsum(new) - 1] > 1
+            if last is not None and last[2]:
+                many[0] = False
+            given = bool(many[heads[-1]]) or (last is not None and last[2] and heads[-1] == 0)
+            last = (key[heads[-1]], k[heads[-1]], given)
+            many &= ~((np.arange(len(key)) != head) & (k == k[head]))  # one id under two sets is no pair
+            yield pa.RecordBatch.from_arrays([pa.array(key[many]), pa.array(k[many]), pa.array(k[head][many])], names=["key", "k", "a"])
+
+    parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    keys = sets.select("k", "signature").mapInArrow(enumerate_keys, "key long, k long")
+    return keys.repartition(parts, "key").sortWithinPartitions("key", "k").mapInArrow(shared, "key long, k long, a long")
+
+
+def _sketches(texts: DataFrame, size: int) -> DataFrame:
+    """(k, sketch): the SKETCH least shingle hashes of each text, cut to 32 bits, ascending."""
+
+    def run(batches):
+        for batch in batches:
+            for i, j, data, offsets in K.chunks(batch.column("text")):
+                grams, bounds = shingles(data, offsets, size)
+                least = (grams >> K.U(32)).astype(np.uint32)
+                yield pa.RecordBatch.from_arrays([batch.column("k").slice(i, j - i), pa.array([least[a : min(b, a + SKETCH)].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["k", "sketch"])
+
+    return texts.select("k", "text").mapInArrow(run, "k long, sketch binary")
+
+
+def promising(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Whether two sketches leave a similarity of percent open: sure for whole sets, else by five standard deviations."""
+    both = np.intersect1d(a, b)
+    if len(a) < SKETCH and len(b) < SKETCH:
+        return 100 * (len(both) + 1) >= percent * (len(a) + len(b) - len(both))
+    union = np.union1d(a, b)[:SKETCH]
+    share, wanted = np.searchsorted(both, union[-1], "right") / len(union), percent / 100
+    return share >= wanted - 5 * np.sqrt(wanted * (1 - wanted) / len(union))
 
 
 def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -154,55 +207,59 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     return rows.mapInArrow(run, "u long, v long")
 
 
-def _across(buckets: DataFrame) -> DataFrame:
-    """Pairs of different components in the buckets (key, k, component, signature) with close signatures.
+def _across(buckets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in the buckets (key, k, component, signature, sketch) that may be links.
 
     Each bucket's most common component is dealt out in blocks; the other members go to every block, where they are
-    compared with it, and in the first block with each other.
+    compared with it, and in the first block with each other. Of the buckets that a pair shares only the first gives it.
     """
     per = buckets.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("most"), F.max("rows").alias("rows"))
     per = per.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK).cast("int")))
     rows = buckets.join(per, "key").withColumn("major", F.col("component") == F.col("most"))
     at = F.when(F.col("major"), F.array(F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("key", F.explode(at).alias("block"), "major", "k", "component", "signature")
+    rows = rows.select("key", F.explode(at).alias("block"), "major", "k", "component", "signature", "sketch")
     parts = max(1, int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block")
 
-    def pairs(minor, major, first):
-        """Of close signatures: each minor with the majors, and in the first block with later minors."""
+    def close(key, signature, mine):
+        """Rows of signature close to mine that no earlier key has put together with it."""
+        apart = (signature != mine).reshape(len(signature), -1, CHUNK)
+        per_chunk = apart.sum(axis=2)
+        good = per_chunk <= 1
+        chunk, gap = divmod((int(key) >> 48) & 0xFF, CHUNK)
+        first = good.argmax(axis=1) == chunk
+        own_gap = np.where(per_chunk[:, chunk] == 0, 0, apart[:, chunk].argmax(axis=1)) == gap
+        return (per_chunk.sum(axis=1) <= MAX_DIFFERENT) & good[:, chunk] & first & own_gap
+
+    def pairs(key, block, minor, major):
         found = []
-        sides = [major] + ([minor] if first else [])
-        for other in sides:
+        for other in (major, minor) if block == 0 else (major,):
             if not minor or not other:
                 continue
             k, c = (np.array([r[f] for r in other]) for f in (0, 1))
             signature = np.frombuffer(b"".join(r[2] for r in other), np.uint16).reshape(-1, SLOTS)
-            for i, (own, component, mine) in enumerate(minor):
+            for i, (own, component, mine, sketch) in enumerate(minor):
                 start = i + 1 if other is minor else 0
+                sketch = np.frombuffer(sketch, np.uint32)
                 for a in range(start, len(k), 1 << 16):
                     b = a + (1 << 16)
-                    near = (c[a:b] != component) & ((signature[a:b] != np.frombuffer(mine, np.uint16)).sum(axis=1) <= MAX_DIFFERENT)
-                    found += [(min(own, x), max(own, x)) for x in k[a:b][near].tolist()]
-        return found
+                    near = np.flatnonzero((c[a:b] != component) & close(key, signature[a:b], np.frombuffer(mine, np.uint16)))
+                    found += [(min(own, int(k[a + x])), max(own, int(k[a + x]))) for x in near if promising(sketch, np.frombuffer(other[a + x][3], np.uint32), percent)]
+        return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     def run(batches):
         now, minor, major = None, [], []
-
-        def flush():
-            found = pairs(minor, major, now[1] == 0) if now else []
-            return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
-
         for batch in batches:
-            for key, block, is_major, k, component, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for key, block, is_major, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (key, block) != now:
                     if minor:
-                        yield flush()
+                        yield pairs(*now, minor, major)
                     now, minor, major = (key, block), [], []
-                (major if is_major else minor).append((k, component, signature))
+                (major if is_major else minor).append(row)
         if minor:
-            yield flush()
+            yield pairs(*now, minor, major)
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
@@ -216,26 +273,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     equal = described.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("k").alias("rep"), F.first("signature").alias("signature"))
     equal = stash(equal, "near-equal")  # one row for each different set
     sets = equal.groupBy(F.col("rep").alias("k")).agg(F.first("signature").alias("signature"))
+    buckets = stash(_buckets(equal.select(F.col("rep").alias("k"), "signature")), "near-buckets")
+    members = buckets.select("k").distinct()
     one = docs.select(key(id_col, text_col).alias("k"), text_of(text_col).alias("text"))
-    keys = stash(_keys(equal.select(F.col("rep").alias("k"), "signature")).distinct(), "near-keys")
-    least = keys.groupBy("key").agg(F.min("k").alias("a"), F.max("k").alias("z")).where("a < z").select("key", "a")
-    stars = keys.join(least, "key").where("k > a").select("a", F.col("k").alias("b")).distinct()
-    stars = stash(_close(stars, sets), "near-stars")
-    first = stash(_verify(stars, one, size, percent), "near-links")
+    texts = stash(one.join(members, "k", "left_semi"), "near-texts")  # the only pass that moves texts of all documents
+    stars = buckets.where("k > a").select("a", F.col("k").alias("b")).distinct()
+    first = stash(_verify(_close(stars, sets), texts, size, percent), "near-links")
     labels = stash(components(first), "near-labels")
-    labelled = keys.join(labels.withColumnRenamed("id", "k"), "k", "left").select("key", "k", F.coalesce("component", "k").alias("component"))
+    labelled = buckets.select("key", "k").join(labels.withColumnRenamed("id", "k"), "k", "left").select("key", "k", F.coalesce("component", "k").alias("component"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    buckets = labelled.join(open_keys, "key").join(sets, "k").select("key", "k", "component", "signature")
-    seen = stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = stash(_across(buckets).join(seen, ["a", "b"], "left_anti"), "near-rest")
-    more = stash(_verify(rest, one, size, percent).unionAll(first), "near-links")
+    still = stash(labelled.join(open_keys, "key", "left_semi"), "near-open")
+    asked = still.select("k").distinct()
+    sketches = stash(_sketches(texts.join(asked, "k", "left_semi"), size).groupBy("k").agg(F.first("sketch").alias("sketch")), "near-sketches")
+    rest = stash(_across(still.join(sets, "k").join(sketches, "k"), percent), "near-rest")
+    more = stash(_verify(rest, texts, size, percent).unionAll(first), "near-links")
     copies = described.where("n > 0").join(equal.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("k > rep").select(F.col("rep").alias("u"), F.col("k").alias("v"))
     labels2 = stash(components(more), "near-labels")
     # a copy follows its set's first row
     hung = copies.join(labels2.withColumnRenamed("id", "u"), "u", "left").select(F.col("v").alias("k"), F.coalesce("component", "u").alias("component"))
     found = hung.unionAll(labels2.select(F.col("id").alias("k"), "component")).groupBy("k").agg(F.min("component").alias("component"))
-    out = described.select("k", F.col("n").alias("n_shingles")).join(found, "k", "left").select("k", "n_shingles", F.coalesce("component", "k").alias("component"))
-    drop_stash(keys, stars, first, labels, rest, more)
+    out = stash(described.select("k", F.col("n").alias("n_shingles")).join(found, "k", "left").select("k", "n_shingles", F.coalesce("component", "k").alias("component")), "near-components")
+    drop_stash(described, equal, buckets, texts, first, labels, still, sketches, rest, more)
     return out
 
 
