@@ -244,26 +244,31 @@ def _shards(contents: DataFrame, rows: int, plan: Plan) -> DataFrame:
 def removed_runs(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(k, th, runs): by document the runs (s, n) of windows to remove, unsorted; documents without any are left out."""
     pieces = docs.select(*key_columns(id_col, text_col), F.lit(0).cast("long").alias("base"))
-    found = []
+    found, used = [], []
     for level, k in enumerate(plan.anchors):
         scanned = stash(_scan(pieces, plan, k), "fragments")
         settled = stash(_settle(scanned.where("kind = 0"), plan), "settled")
         early = stash(scanned.where(F.col("kind") == REMOVED).select("k", "th", "s", "n"), "early")
         drop_stash(scanned)
+        used += [settled, early]
         found += [early, settled.where(F.col("kind") == REMOVED).select("k", "th", "s", "n")]
         rows = {r["kind"]: r["n"] for r in settled.groupBy("kind").agg(F.count("*").alias("n")).collect()}
         if not rows.get(SHARD) and not rows.get(CUT):
             break
         contents = stash(_contents(settled, pieces, plan), "contents")
+        used.append(contents)
         if rows.get(SHARD):
             found.append(stash(_shards(contents.where(F.col("kind") == SHARD), rows[SHARD], plan), "shard-runs"))
+            used.append(found[-1])
         if not rows.get(CUT) or level + 1 == len(plan.anchors):
             break
         pieces = contents.where(F.col("kind") == CUT).select("k", "th", F.col("s").alias("base"), F.col("content").alias("text"))
     out = found[0]
     for x in found[1:]:
         out = out.unionAll(x)
-    return out.groupBy("k", "th").agg(F.collect_list(F.struct("s", "n")).alias("runs"))
+    out = stash(out.groupBy("k", "th").agg(F.collect_list(F.struct("s", "n")).alias("runs")), "runs")
+    drop_stash(*used)
+    return out
 
 
 def with_runs(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
