@@ -5,10 +5,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.code import quick_similarity
+from ..functions.code import close_texts
+
+#: Members of a bucket that one task compares with the rows that ask.
+BLOCK = 256
 
 
 def first_wins(rows: DataFrame, keys: Sequence[Column | str], order: Sequence[Column | str]) -> DataFrame:
@@ -36,32 +40,88 @@ def flag_overlap(train: DataFrame, keys: dict[str, Column], evaluation: dict[str
 def near_in_cell(rows: DataFrame, cell: list[str], id_col: str, text_col: str, threshold: float = 0.85, seeds: int = 24, band: int = 3) -> DataFrame:
     """Adds near_of: the least id of a close text in the same cell that stands before the row, or null.
 
-    Candidates share a band of minima over five-word shingles; each bucket compares its rows with its first one only, by
-    the ratio of shared characters. Distributed, and so not the greedy pass in id order that one machine would make.
+    Candidates share a band of minima over five-word shingles. Equal texts count as one; each bucket compares its rows with
+    its first one, then those that are not close to that with all the others. Close is by the longest common subsequence,
+    with case and blanks made one. Distributed, and so not the greedy pass in id order that one machine would make.
     """
-    words = F.filter(F.split(F.lower(F.col(text_col)), r"[^\p{L}\p{N}]+"), lambda x: x != "")
+    kind = rows.schema[id_col].dataType.simpleString()
+    norm = F.lower(F.trim(F.regexp_replace(F.col(text_col), r"(?U)[\s\x1c-\x1f]+", " ")))
+    words = F.filter(F.split("_t", r"[^\p{L}\p{N}]+"), lambda x: x != "")
     shingle = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("_w") - 4)), lambda i: F.xxhash64(F.array_join(F.slice("_w", i, F.lit(5)), " ")))
-    base = rows.select(*cell, F.col(id_col).alias("_id"), words.alias("_w")).where(F.size("_w") > 0).select(*cell, "_id", shingle.alias("_s"))
+    place = F.to_json(F.struct(*cell))
+    texts = rows.select(F.col(id_col).alias("_id"), place.alias("_c"), norm.alias("_t"))
+    digest = lambda t: F.sha2(F.concat("_c", F.char(F.lit(0)), t), 256)
+    base = texts.select("_id", "_c", digest("_t").alias("_h"), words.alias("_w")).where(F.size("_w") > 0).select("_id", "_c", "_h", shingle.alias("_s"))
 
     def seeded(seed):  # a lambda of two arguments would get the index as its second
         return F.array_min(F.transform("_s", lambda h: F.xxhash64(h, F.lit(seed))))
 
     least = [seeded(s) for s in range(seeds)]
-    bands = F.array(*[F.xxhash64(F.lit(b), *least[b : b + band]) for b in range(0, seeds, band)])
-    keyed = base.select(*cell, "_id", F.explode(F.array_distinct(bands)).alias("_key"))
-    first = keyed.groupBy(*cell, "_key").agg(F.min("_id").alias("_to"))
-    pairs = keyed.join(first, [*cell, "_key"]).where("_id > _to").select("_id", "_to").distinct()
-    texts = rows.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"))
-
-    @F.pandas_udf("double")
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([quick_similarity(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
-
-    both = pairs.join(texts, F.col("_id") == F.col("_i")).select("_id", "_to", F.col("_t").alias("_a")).join(texts, F.col("_to") == F.col("_i"))
-    near = both.where(ratio("_a", "_t") >= threshold).groupBy("_id").agg(F.min("_to").alias("near_of"))
+    bands = F.array(*[F.xxhash64("_c", F.lit(b), *least[b : b + band]) for b in range(0, seeds, band)])
+    own = base.select("_id", "_h", bands.alias("_keys")).groupBy("_h").agg(F.min("_id").alias("_id"), F.first("_keys").alias("_keys"), F.count("*").alias("_copies"))
+    keyed = own.select("_id", F.explode(F.array_distinct("_keys")).alias("_key"))
+    first = keyed.groupBy("_key").agg(F.min("_id").alias("_to"), F.count("*").alias("_n")).where("_n > 1")
+    placed = keyed.join(first, "_key").where("_id > _to")
+    pairs = placed.select("_id", "_to").distinct()
+
+    @F.pandas_udf("boolean")
+    def close(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([close_texts(x, y, threshold) for x, y in zip(a, b, strict=True)], dtype="bool")
+
+    text = texts.select(F.col("_id").alias("_i"), "_t")
+    both = pairs.join(text, F.col("_id") == F.col("_i")).select("_id", "_to", F.col("_t").alias("_a")).join(text, F.col("_to") == F.col("_i"))
+    links = both.where(close("_a", "_t")).select("_id", "_to")
+
+    # whatever is close to the first of a bucket has nothing less there, and a row with a lesser one elsewhere needs none
+    best = links.groupBy("_id").agg(F.min("_to").alias("_best"))
+    undecided = placed.where("_n > 2").join(links, ["_id", "_to"], "left_anti").join(best, "_id", "left").where("_best IS NULL OR _best > _to")
+    blocks = F.ceil(F.col("_n") / BLOCK).cast("int")
+    asking = undecided.select("_key", F.explode(F.sequence(F.lit(0), blocks - 1)).alias("_block"), F.lit(True).alias("_asks"), "_id", "_best")
+    members = placed.join(undecided.select("_key").distinct(), "_key", "left_semi")
+    members = members.select("_key", F.pmod(F.xxhash64("_id"), blocks).cast("int").alias("_block"), F.lit(False).alias("_asks"), "_id", F.lit(None).cast(kind).alias("_best"))
+    met = asking.unionAll(members).join(own.select("_id", "_keys"), "_id").join(text, F.col("_id") == F.col("_i"))
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    met = met.select("_key", "_block", "_asks", "_id", "_best", "_keys", "_t").repartition(parts, "_key", "_block").sortWithinPartitions("_key", "_block")
+    rest = met.mapInArrow(_least_close(threshold), f"_id {kind}, _to {kind}")
+
+    found = links.unionAll(rest).groupBy("_id").agg(F.min("_to").alias("_best"))
+    least_of = own.join(found, "_id", "left").where("_copies > 1 OR _best IS NOT NULL").select("_h", F.least("_id", "_best").alias("_least"))
+    near = texts.select("_id", digest("_t").alias("_h")).join(least_of, "_h").where("_id > _least").select("_id", F.col("_least").alias("near_of"))
     return rows.join(near, F.col(id_col) == F.col("_id"), "left").drop("_id")
 
 
+def _least_close(threshold: float):
+    """Over rows (key, block, asks, id, best, keys, text) in order of key and block: each asking row with its least close member.
+
+    A pair is compared in the first of the buckets it shares, and only below what the row already has.
+    """
+
+    def answers(key, members, asking):
+        members.sort(key=lambda m: m[0])
+        for own, best, keys, text in asking:
+            for other, _, theirs, there in members:
+                if other >= own or (best is not None and other >= best):
+                    break
+                if next(x for x, y in zip(keys, theirs, strict=True) if x == y) == key and close_texts(text, there, threshold):
+                    yield own, other
+                    break
+
+    def run(batches):
+        schema, now, members, asking, out = None, None, [], [], []
+        for batch in batches:
+            schema = pa.schema([("_id", batch.schema.field("_id").type), ("_to", batch.schema.field("_id").type)])
+            for key, block, asks, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, block) != now:
+                    out += answers(now[0], members, asking) if now else ()
+                    now, members, asking = (key, block), [], []
+                (asking if asks else members).append(row)
+        if now:
+            out += answers(now[0], members, asking)
+            yield pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], schema.field(i).type) for i in (0, 1)], schema=schema)
+
+    return run
+
+
 def passages_in(texts: DataFrame, id_col: str, text_col: str, passages: DataFrame, passage_id: str, passage_text: str, size: int = 6) -> DataFrame:
     """(id, passage id) where the text contains the passage whole. Passages are found by their first words, then compared.
 

@@ -158,3 +158,26 @@ def test_rates_of_nothing(spark):
     assert [(r.metric, r.value, r.n_den) for r in got] == [("m", 0.0, 0)]
     v = spark.createDataFrame([(x,) for x in range(1, 21)], "x int")
     assert v.agg(metrics.index_percentile("x", 0.95)).first()[0] == 19
+
+
+def test_near_in_cell_compares_all_of_a_bucket(spark):
+    common, one, two = (" ".join(f"{p}{i}" for i in range(n)) for p, n in (("shared", 60), ("left", 40), ("right", 40)))
+    rows = [(1, f"{common} {one}", "c"), (2, f"{common} {two}", "c"), (3, f"{common} {two} more", "c"), (4, f"{common} {two} more", "c"), (5, f"{common} {two}", "d")]
+    df = spark.createDataFrame(rows, "id int, t string, c string")
+    got = dedup.near_in_cell(df, ["c"], "id", "t", seeds=1, band=1)  # one bucket, whose first row is close to none
+    assert {r.id: r.near_of for r in got.collect()} == {1: None, 2: None, 3: 2, 4: 2, 5: None}
+
+
+def test_near_in_cell_reads_the_order_and_not_the_case(spark):
+    common, words = " ".join(f"shared{i}" for i in range(60)), [f"word{i}" for i in range(60)]
+    rows = [(1, f"{common} {' '.join(words)}"), (2, f"{common} {' '.join(reversed(words))}"), (3, f"{common}  {' '.join(words)}\n".upper())]
+    df = spark.createDataFrame(rows, "id int, t string").withColumn("c", F.lit("c"))
+    assert {r.id: r.near_of for r in dedup.near_in_cell(df, ["c"], "id", "t", seeds=1, band=1).collect()} == {1: None, 2: None, 3: 1}
+
+
+def test_close_texts():
+    from tesseral.functions import code
+
+    assert code.close_texts("", "", 0.85) and not code.close_texts("", "a", 0.85)
+    assert code.close_texts("abcdefgh" * 20, "abcdefgh" * 20 + "x" * 56, 0.85) and not code.close_texts("abcdefgh" * 20, "abcdefgh" * 20 + "x" * 57, 0.85)
+    assert not code.close_texts("ab" * 50, "a" * 50 + "b" * 50, 0.85)
