@@ -179,7 +179,7 @@ def near_dup_cell(spark, sf_dir):
 t AS (SELECT source, sha256({_DOCNORM}) IN (SELECT h FROM e) AS s, md5(substr(lower(text), 1, 40)) IN (SELECT h FROM p) AS a FROM documents)
 SELECT source, CAST(count(*) FILTER (s AND NOT a) AS BIGINT) AS string_only, CAST(count(*) FILTER (a AND NOT s) AS BIGINT) AS shape_only, CAST(count(*) FILTER (a AND s) AS BIGINT) AS both, CAST(count(*) FILTER (NOT a AND NOT s) AS BIGINT) AS kept FROM t GROUP BY source""")
 def disjointness_audit(spark, sf_dir):
-    """JN3, AGG17: two keys, two flags; the second key stands for the shape of the text."""
+    """JN3, AGG17: two keys, two flags; the second key is the opening, as in the SQL. disjointness_whole reads whole texts."""
     norm, shape = F.sha2(text.string_normalize("text"), 256), F.md5(F.substring(F.lower("text"), 1, 40))
     b, c = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations")
     evaluation = {"string": b.select(norm.alias("key")).unionAll(c.select(norm.alias("key"))), "shape": b.select(shape.alias("key"))}
@@ -188,6 +188,21 @@ def disjointness_audit(spark, sf_dir):
     return t.groupBy("source").agg(F.count_if(s & ~a).alias("string_only"), F.count_if(a & ~s).alias("shape_only"), F.count_if(a & s).alias("both"), F.count_if(~a & ~s).alias("kept"))
 
 
+@query()
+def disjointness_whole(spark, sf_dir):
+    """JN3, AGG17: as disjointness_audit, the second key over the whole text: its parsed form, or else its words without case."""
+    norm = F.sha2(text.string_normalize("text"), 256)
+    words = F.array_join(F.filter(F.split(F.lower("text"), r"[^\p{L}\p{N}_]+"), lambda x: x != ""), " ")
+    # texts without a word have no shape, so they do not all count as one
+    shape = F.when(words != "", F.sha2(F.coalesce(F.concat(F.lit("ast "), code.ast_normal("text")), F.concat(F.lit("words "), words)), 256))
+    b, c = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations")
+    evaluation = {"string": b.select(norm.alias("key")).unionAll(c.select(norm.alias("key"))), "shape": b.select(shape.alias("key"))}
+    d = table(spark, sf_dir, "documents").select("source", norm.alias("x"), shape.alias("y"))
+    t = dedup.flag_overlap(d, {"string": F.col("x"), "shape": F.col("y")}, evaluation)
+    s, a = F.col("in_string"), F.col("in_shape")
+    return t.groupBy("source").agg(F.count_if(s & ~a).alias("string_only"), F.count_if(a & ~s).alias("shape_only"), F.count_if(a & s).alias("both"), F.count_if(~a & ~s).alias("kept"))
+
+
 @query("SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
 def passage_contamination(spark, sf_dir):
     """JN5 in the form of containment."""

@@ -181,3 +181,15 @@ def test_close_texts():
     assert code.close_texts("", "", 0.85) and not code.close_texts("", "a", 0.85)
     assert code.close_texts("abcdefgh" * 20, "abcdefgh" * 20 + "x" * 56, 0.85) and not code.close_texts("abcdefgh" * 20, "abcdefgh" * 20 + "x" * 57, 0.85)
     assert not code.close_texts("ab" * 50, "a" * 50 + "b" * 50, 0.85)
+
+
+def test_disjointness_reads_whole_texts(spark, tmp_path):
+    from tesseral.queries import QUERIES
+
+    opening, item = "the same licence header stands before every text", "def f(a, b):\n    return a + b\n"
+    docs = [("a", f"{opening} but another body"), ("a", f"{opening}, and ITS body"), ("b", "def g(x, y):\n    return x + y\n"), ("b", "!!"), ("b", None)]
+    spark.createDataFrame(docs, "source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(f"{opening} and its body",), (item,), ("??",)], "text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([("nothing of it",)], "text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.source: (r.string_only, r.shape_only, r.both, r.kept) for r in QUERIES["disjointness_whole"](spark, str(tmp_path)).collect()}
+    assert got == {"a": (0, 1, 0, 1), "b": (0, 1, 0, 2)}
