@@ -7,28 +7,41 @@ import numpy as np
 _ONE = np.uint64(1)
 
 
-def suffix_array(text: np.ndarray, rounds: int = 64) -> np.ndarray:
-    """All suffixes in order, by prefix doubling; text ends with its least symbol or has unique ends within reach."""
+def suffix_array(text: np.ndarray) -> np.ndarray:
+    """All suffixes in order, by prefix doubling; the end of the text is below every symbol.
+
+    The first order is that of as many symbols as fit into 62 bits; then only suffixes that share a rank are sorted again.
+    """
     n = len(text)
-    rank = np.unique(text, return_inverse=True)[1].astype(np.int64)
-    size = 1
-    order = np.argsort(rank, kind="stable")
-    for _ in range(rounds):
-        if size >= n:
-            break
-        after = np.zeros(n, np.int64)
-        after[: n - size] = rank[size:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        step = np.empty(n, np.int64)
-        step[0] = 0
-        np.cumsum(key[1:] != key[:-1], out=step[1:])
-        rank[order] = step
-        if step[-1] == n - 1:
-            break
+    if not n:
+        return np.zeros(0, np.int64)
+    least = int(text.min())
+    bits = (int(text.max()) - least + 1).bit_length()
+    size = max(1, 62 // bits)
+    key = np.zeros(n, np.int64)
+    for i in range(size):
+        key <<= bits
+        key[: max(0, n - i)] |= text[i:] - (least - 1)
+    order = np.argsort(key)
+    key = key[order]
+    head = np.ones(n, bool)  # where a group of suffixes that are equal so far begins
+    head[1:] = key[1:] != key[:-1]
+    rank = np.empty(n, np.int64)
+    rank[order] = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+    while True:
+        at = np.flatnonzero(~(head & np.append(head[1:], True)))
+        if not len(at):
+            return order
+        own = order[at]
+        after = np.where(own + size < n, rank[np.minimum(own + size, n - 1)] + 1, 0)
+        key = rank[own] * (n + 1) + after
+        by = np.argsort(key)
+        own, key = own[by], key[by]
+        new = np.ones(len(at), bool)
+        new[1:] = key[1:] != key[:-1]
+        order[at], head[at] = own, new
+        rank[own] = np.maximum.accumulate(np.where(new, at, 0))
         size *= 2
-    return order
 
 
 class WaveletMatrix:
