@@ -2,8 +2,9 @@
 
 Pieces come from a fixed public vocabulary, lower-cased, plus all single bytes. Each language has a probability for each
 piece, fitted by expectation maximisation. A word's likelihood is the sum over all its segmentations, by the forward
-algorithm; a text's is the product over its words. Words are runs of ASCII letters and non-ASCII bytes, of 40 bytes at
-most (longer runs are split there), and start with the vocabulary's word mark.
+algorithm; a text's is the product over its words. Words are runs of ASCII letters and non-ASCII bytes and start with the
+vocabulary's word mark. A run of over 40 bytes counts as several words, divided where a character starts, so that
+scripts without spaces are scored whole.
 """
 
 from __future__ import annotations
@@ -133,13 +134,16 @@ def normal(word: bytes) -> bytes:
 
 
 def spans(data: np.ndarray, offsets: np.ndarray):
-    """Words as K.words has them, the long ones split."""
+    """Words as K.words has them; the long ones are divided at every 40th byte, or where the character there starts."""
     starts, ends, bounds = K.words(data, offsets, SEPARATOR)
     if len(starts) and (ends - starts).max() > MAX_WORD:
         parts = -(-(ends - starts) // MAX_WORD)
-        first = np.repeat(np.cumsum(parts) - parts, parts)
-        starts, ends = np.repeat(starts, parts) + (np.arange(parts.sum()) - first) * MAX_WORD, np.repeat(ends, parts)
-        ends = np.minimum(ends, starts + MAX_WORD)
+        place = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+        starts, ends = np.repeat(starts, parts) + place * MAX_WORD, np.repeat(ends, parts)
+        inner = place > 0
+        for _ in range(3):
+            starts = starts - (inner & ((data[starts] & 0xC0) == 0x80))
+        ends[:-1] = np.where(inner[1:], starts[1:], ends[:-1])
         bounds = np.searchsorted(starts, offsets)
     return starts, ends, bounds
 

@@ -125,6 +125,21 @@ def test_language_held_out(spark):
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
 
 
+def test_long_runs_keep_every_character():
+    """Runs of over 40 bytes in scripts of one to four bytes a character, at the real limit."""
+    for letters in ("abcde", "éàüñ", "語言識別模型", "𝒳𝒴𝒵", "aé語𝒳"):
+        r = random.Random(len(letters))
+        for n in (1, 13, 30, 41, 200, 5000):
+            text = "".join(r.choice(letters) for _ in range(n))
+            data, offsets = K.flat(pa.array([text, None, "x" + text, text + " y"]))
+            starts, ends, bounds = language_id.spans(data, offsets)
+            raw = data.tobytes()
+            for row, whole in ((0, text), (2, "x" + text), (3, text + "y")):
+                parts = [raw[starts[i] : ends[i]] for i in range(bounds[row], bounds[row + 1])]
+                assert "".join(p.decode() for p in parts) == whole and max(map(len, parts)) <= language_id.MAX_WORD + 3
+            assert bounds[1] == bounds[2]
+
+
 def rule_counts(text):
     text = text or ""
     w = re.findall(r"[^\x20\x09-\x0D]+", text)
