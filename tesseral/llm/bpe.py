@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 #: Matches remembered by each Python worker; the cache is emptied when full.
 CACHE = 200_000
-#: Texts are split in parts of about so many characters, at places where a match must begin.
+#: Texts are split in parts of about so many characters, at places where a match of the default pattern must begin.
 PART = 1 << 18
 
 _loaded: dict[str, "Codec"] = {}
@@ -53,6 +53,8 @@ class Codec:
         merges = [(shown[t[:i]], shown[t[i:]]) for t in sorted(ranks, key=ranks.get) for i in range(1, len(t)) if t[:i] in ranks and t[i:] in ranks]
         self.model = Tokenizer(models.BPE(vocab={shown[t]: r for t, r in ranks.items()}, merges=merges, ignore_merges=True))
         self.find = regex.compile(pattern).findall
+        self.space = regex.compile(r"\s").match
+        self.divisible = pattern == default_ranks()[1]
         self.chars = str.maketrans({b: c for b, c in enumerate(chars)})
         self.cache: dict[str, tuple] = {}
 
@@ -63,11 +65,15 @@ class Codec:
         return _loaded[path, pattern]
 
     def parts(self, text: str) -> Iterator[str]:
-        """A white-space character after another character begins a match, whatever stands before it."""
+        """The text in parts whose matches are those of the whole.
+
+        In the default pattern \\s begins a match wherever it follows a character that is none; other patterns need not
+        keep to that, and for them the whole text is one part.
+        """
         start = 0
-        while len(text) - start > PART:
+        while self.divisible and len(text) - start > PART:
             at = start + PART
-            while at < len(text) and not (text[at].isspace() and not text[at - 1].isspace()):
+            while at < len(text) and not (self.space(text, at) and not self.space(text, at - 1)):
                 at += 1
             yield text[start:at]
             start = at

@@ -91,6 +91,20 @@ def test_bpe_parts_and_small_cache(encoding, monkeypatch):
             assert codec.encode(text) == encoding.encode_ordinary(text)
 
 
+def test_bpe_parts_at_the_real_limit(encoding):
+    """Long texts are cut only where the pattern begins a match: not at characters that it does not hold for blanks."""
+    codec = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    for blank in ("\x1c", "\x1f", "\x85", "\u3000", " ", "\n\n"):
+        text = "ab! " * (bpe.PART // 4 - 3) + "!" * 20 + blank + "!" * 10 + " é" * 20 + blank * 3 + "end"
+        parts = list(codec.parts(text))
+        assert "".join(parts) == text
+        assert [m for p in parts for m in codec.find(p)] == codec.find(text)
+        assert codec.encode(text) == encoding.encode_ordinary(text)
+    assert len(list(codec.parts("ab! " * bpe.PART))) > 2
+    other = bpe.Codec(public_tokenizers.path("byte_bpe_50k.tiktoken"), r"\s*\S+\s*|\s+")
+    assert len(list(other.parts("ab! " * bpe.PART))) == 1
+
+
 def test_bpe_offsets_and_decoding(spark):
     texts = ["a 😀 b", "中文", "é", None, "plain text"]
     tokens = bpe.encode(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
