@@ -24,13 +24,18 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(id, component) for every id that an edge (u, v) names; the component is its smallest id. Loops are ignored."""
+    """(id, component) for every id that an edge (u, v) names; the component is its smallest id. Loops are ignored.
+
+    The rounds needed grow with the logarithm of the ids; a result that is still moving after ROUNDS is an error.
+    """
     now = stash(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     seen = None
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS + 1):
         state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen or not state["n"]:
             break
+        if turn == ROUNDS:
+            raise RuntimeError(f"components are not found after {ROUNDS} rounds")
         seen = state
         after = stash(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
         drop_stash(now)
