@@ -10,6 +10,10 @@ on the full sets join components. Only buckets that still span components are lo
 different components whose signatures are close enough and whose sketches leave a link open; those that hold on the full
 sets join components in a second pass. So no link that could join two components is missed (but for the odds of the
 signatures and sketches), and a group of copies costs one comparison for each member.
+
+The odds: a pair at the limit is missed by its signature with 1.4 in 10**8 at a similarity of 0.85, and with 3.4 in 10**6
+at 0.8; a sketch, which counts only for sets of more than SKETCH shingles, refuses such a pair with less than 1 in 10**6.
+deviations=None leaves the sketches out, so that every close pair is compared in full.
 """
 
 from __future__ import annotations
@@ -24,11 +28,13 @@ from .common import drop_stash, id_of, key, stash, text_of
 from .components import components
 
 SLOTS, CHUNK, MAX_DIFFERENT = 48, 4, 23
-#: Members of a bucket that one task compares with each other at a time, and rows of a hot set that one task verifies.
-BLOCK = 2048
+#: Members of a bucket on either side of one task's comparisons, and rows of a hot set that one task verifies.
+BLOCK = 512
 SALT_ROWS = 512
 #: Least hashes of a set that stand for it where buckets span components; smaller sets are held whole.
 SKETCH = 256
+#: How far below the limit a sketch's share may lie for the pair to be compared in full.
+DEVIATIONS = 5.0
 
 _rng = np.random.default_rng(6)
 _MULTIPLY = (_rng.integers(1, 2**63, SLOTS, dtype=np.uint64) << K.U(1)) | K.U(1)
@@ -145,14 +151,16 @@ def _sketches(texts: DataFrame, size: int) -> DataFrame:
     return texts.select("k", "text").mapInArrow(run, "k long, sketch binary")
 
 
-def promising(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Whether two sketches leave a similarity of percent open: sure for whole sets, else by five standard deviations."""
+def promising(a: np.ndarray, b: np.ndarray, percent: int, deviations: float | None = DEVIATIONS) -> bool:
+    """Whether two sketches leave a similarity of percent open: sure for whole sets, else by so many standard deviations."""
+    if deviations is None:
+        return True
     both = np.intersect1d(a, b)
     if len(a) < SKETCH and len(b) < SKETCH:
         return 100 * (len(both) + 1) >= percent * (len(a) + len(b) - len(both))
     union = np.union1d(a, b)[:SKETCH]
     share, wanted = np.searchsorted(both, union[-1], "right") / len(union), percent / 100
-    return share >= wanted - 5 * np.sqrt(wanted * (1 - wanted) / len(union))
+    return share >= wanted - deviations * np.sqrt(wanted * (1 - wanted) / len(union))
 
 
 def _close(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -173,28 +181,30 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     Each text goes once to the tasks of every partner that it is compared with; a partner with many rows is dealt to
-    several tasks. A task holds one such partner's set at a time and reads the others past it.
+    several tasks. A task holds one such partner's set at a time and reads the others past it. Pairs and counts are
+    tables, so that a join with a hot partner stands alone in its stage, where skewed partitions are split.
     """
-    per = pairs.groupBy("a").agg(F.count("*").alias("rows"))
-    salts = F.greatest(F.lit(1), F.ceil(F.col("rows") / SALT_ROWS).cast("int"))
-    per = per.withColumn("salts", salts)
-    hubs = per.join(texts, per["a"] == texts["k"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(-1).cast("long").alias("b"), "text")
+    pairs = stash(pairs, "near-pairs")
+    salts = F.greatest(F.lit(1), F.ceil(F.count("*") / SALT_ROWS).cast("int"))
+    per = stash(pairs.groupBy("a").agg(salts.alias("salts")), "near-partners")
+    hubs = per.join(texts, per["a"] == texts["k"]).select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "a", "text", F.lit(False).alias("past")).toDF("a", "salt", "b", "text", "past")
     dealt = pairs.join(per, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), "b")
-    rows = dealt.join(texts, dealt["b"] == texts["k"]).select("a", "salt", "b", "text").unionAll(hubs)
+    rows = dealt.join(texts, dealt["b"] == texts["k"]).select("a", "salt", "b", "text", F.lit(True).alias("past")).unionAll(hubs)
     parts = max(1, int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", F.col("b") >= 0)
+    rows = rows.repartition(parts, "a", "salt").sortWithinPartitions("a", "salt", "past")
 
     def run(batches):
         hub, held = None, np.zeros(0, K.U)
         for batch in batches:
             linked = ([], [])
             a_all, salt_all, b_all = (batch.column(c).to_numpy() for c in ("a", "salt", "b"))
+            past = batch.column("past").to_pylist()
             for i, _, data, offsets in K.chunks(batch.column("text")):
                 grams, bounds = shingles(data, offsets, size)
                 for row in range(len(offsets) - 1):
                     own = grams[bounds[row] : bounds[row + 1]]
                     a, salt, b = a_all[i + row], salt_all[i + row], b_all[i + row]
-                    if b < 0:
+                    if not past[i + row]:
                         hub, held = (a, salt), own.copy()
                     elif hub == (a, salt) and len(held) and len(own):
                         at = np.minimum(np.searchsorted(held, own), len(held) - 1)
@@ -204,22 +214,41 @@ def _verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> Data
                             linked[1].append(b)
             yield pa.RecordBatch.from_arrays([pa.array(linked[0], pa.int64()), pa.array(linked[1], pa.int64())], names=["u", "v"])
 
-    return rows.mapInArrow(run, "u long, v long")
+    out = rows.mapInArrow(run, "u long, v long")
+    out._used = (pairs, per)
+    return out
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, more: DataFrame | None = None) -> DataFrame:
+    """_verify's links and those of more, as a table."""
+    found = _verify(pairs, texts, size, percent)
+    out = stash(found.unionAll(more) if more is not None else found, "near-links")
+    drop_stash(*found._used)
+    return out
 
 
-def _across(buckets: DataFrame, percent: int) -> DataFrame:
+def _across(buckets: DataFrame, percent: int, deviations: float | None) -> DataFrame:
     """Pairs (a, b) of different components in the buckets (key, k, component, signature, sketch) that may be links.
 
-    Each bucket's most common component is dealt out in blocks; the other members go to every block, where they are
-    compared with it, and in the first block with each other. Of the buckets that a pair shares only the first gives it.
+    A bucket's most common component, and its other members, are cut in blocks. Every pair of blocks is a task of its
+    own: other members against the most common component, and other members among themselves; so no task holds more
+    than two blocks. Of the buckets that a pair shares only the first gives it.
     """
-    per = buckets.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("most"), F.max("rows").alias("rows"))
-    per = per.withColumn("blocks", F.greatest(F.lit(1), F.ceil(F.col("rows") / BLOCK).cast("int")))
+    per = buckets.groupBy("key", "component").agg(F.count("*").alias("rows")).groupBy("key").agg(F.max_by("component", F.struct("rows", "component")).alias("most"), F.max("rows").alias("rows"), F.sum("rows").alias("all"))
+    blocks = lambda n: F.greatest(F.lit(1), F.ceil(n / BLOCK).cast("int"))
+    per = stash(per.select("key", "most", blocks(F.col("rows")).alias("blocks"), blocks(F.col("all") - F.col("rows")).alias("others")), "near-blocks")
     rows = buckets.join(per, "key").withColumn("major", F.col("component") == F.col("most"))
-    at = F.when(F.col("major"), F.array(F.pmod(F.xxhash64("k"), F.col("blocks")).cast("int"))).otherwise(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.select("key", F.explode(at).alias("block"), "major", "k", "component", "signature", "sketch")
+    own = F.pmod(F.xxhash64("k"), F.when(F.col("major"), F.col("blocks")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("own", own)
+    to = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    task = lambda kind, a, b, left: F.struct(F.lit(kind).alias("kind"), a.alias("x"), b.alias("y"), left.alias("left"))
+    yes, no, o = F.lit(True), F.lit(False), F.col("own")
+    with_major = F.when(F.col("major"), to("others", lambda i: task(0, o, i, no))).otherwise(to("blocks", lambda i: task(0, i, o, yes)))
+    among = F.when(F.col("major"), F.array().cast("array<struct<kind:int,x:int,y:int,left:boolean>>")).otherwise(to("others", lambda i: task(1, F.least(i, o), F.greatest(i, o), o <= i)))
+    rows = rows.select("key", F.explode(F.concat(with_major, among)).alias("t"), "k", "component", "signature", "sketch")
+    rows = rows.select("key", "t.kind", "t.x", "t.y", "t.left", "k", "component", "signature", "sketch")
     parts = max(1, int(buckets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(parts, "key", "block").sortWithinPartitions("key", "block")
+    rows = rows.repartition(parts, "key", "kind", "x", "y").sortWithinPartitions("key", "kind", "x", "y")
 
     def close(key, signature, mine):
         """Rows of signature close to mine that no earlier key has put together with it."""
@@ -231,43 +260,47 @@ def _across(buckets: DataFrame, percent: int) -> DataFrame:
         own_gap = np.where(per_chunk[:, chunk] == 0, 0, apart[:, chunk].argmax(axis=1)) == gap
         return (per_chunk.sum(axis=1) <= MAX_DIFFERENT) & good[:, chunk] & first & own_gap
 
-    def pairs(key, block, minor, major):
-        found = []
-        for other in (major, minor) if block == 0 else (major,):
-            if not minor or not other:
-                continue
+    def pairs(now, left, right):
+        """Each of the left rows against the right ones; a block met with itself has left rows only."""
+        key, kind, x, y = now
+        found, itself = [], kind == 1 and x == y
+        other = left if itself else right
+        if left and other:
             k, c = (np.array([r[f] for r in other]) for f in (0, 1))
             signature = np.frombuffer(b"".join(r[2] for r in other), np.uint16).reshape(-1, SLOTS)
-            for i, (own, component, mine, sketch) in enumerate(minor):
-                start = i + 1 if other is minor else 0
+            for i, (own, component, mine, sketch) in enumerate(left):
+                a = i + 1 if itself else 0
+                if a == len(k):
+                    break
                 sketch = np.frombuffer(sketch, np.uint32)
-                for a in range(start, len(k), 1 << 16):
-                    b = a + (1 << 16)
-                    near = np.flatnonzero((c[a:b] != component) & close(key, signature[a:b], np.frombuffer(mine, np.uint16)))
-                    found += [(min(own, int(k[a + x])), max(own, int(k[a + x]))) for x in near if promising(sketch, np.frombuffer(other[a + x][3], np.uint32), percent)]
+                near = np.flatnonzero((c[a:] != component) & close(key, signature[a:], np.frombuffer(mine, np.uint16)))
+                found += [(min(own, int(k[a + x])), max(own, int(k[a + x]))) for x in near if promising(sketch, np.frombuffer(other[a + x][3], np.uint32), percent, deviations)]
         return pa.RecordBatch.from_arrays([pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.int64())], names=["a", "b"])
 
     def run(batches):
-        now, minor, major = None, [], []
+        now, left, right = None, [], []
         for batch in batches:
-            for key, block, is_major, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if (key, block) != now:
-                    if minor:
-                        yield pairs(*now, minor, major)
-                    now, minor, major = (key, block), [], []
-                (major if is_major else minor).append(row)
-        if minor:
-            yield pairs(*now, minor, major)
-
-    return rows.mapInArrow(run, "a long, b long")
+            for key, kind, x, y, is_left, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (key, kind, x, y) != now:
+                    if left:
+                        yield pairs(now, left, right)
+                    now, left, right = (key, kind, x, y), [], []
+                (left if is_left else right).append(row)
+        if left:
+            yield pairs(now, left, right)
+
+    out = rows.mapInArrow(run, "a long, b long")
+    out._used = (per,)
+    return out
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, percent: int = 85, deviations: float | None = DEVIATIONS) -> DataFrame:
     """(k, n_shingles, component) for every row; k is the id, or a key above all ids for null.
 
     Words are [^\\x20\\x09-\\x0D]+ with A-Z lower-cased. A text of fewer words than a shingle has all of them as its one
     shingle; a null or empty text, or one of blanks, has none and is a component of its own. Rows that share an id get the
-    smallest component that a row of that id is in; rows with a null id are told apart by their texts.
+    smallest component that a row of that id is in (of different texts under one id that are first of their equals, one
+    is searched); rows with a null id are told apart by their texts.
     """
     described = stash(describe(docs, id_col, text_col, size), "near-sets")
     equal = described.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("k").alias("rep"), F.first("signature").alias("signature"))
@@ -278,22 +311,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one = docs.select(key(id_col, text_col).alias("k"), text_of(text_col).alias("text"))
     texts = stash(one.join(members, "k", "left_semi"), "near-texts")  # the only pass that moves texts of all documents
     stars = buckets.where("k > a").select("a", F.col("k").alias("b")).distinct()
-    first = stash(_verify(_close(stars, sets), texts, size, percent), "near-links")
+    first = _verified(_close(stars, sets), texts, size, percent)
     labels = stash(components(first), "near-labels")
     labelled = buckets.select("key", "k").join(labels.withColumnRenamed("id", "k"), "k", "left").select("key", "k", F.coalesce("component", "k").alias("component"))
     open_keys = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
     still = stash(labelled.join(open_keys, "key", "left_semi"), "near-open")
     asked = still.select("k").distinct()
     sketches = stash(_sketches(texts.join(asked, "k", "left_semi"), size).groupBy("k").agg(F.first("sketch").alias("sketch")), "near-sketches")
-    rest = stash(_across(still.join(sets, "k").join(sketches, "k"), percent), "near-rest")
-    more = stash(_verify(rest, texts, size, percent).unionAll(first), "near-links")
+    rest = _across(still.join(sets, "k").join(sketches, "k"), percent, deviations)
+    more = _verified(rest, texts, size, percent, first)
+    drop_stash(*rest._used)
     copies = described.where("n > 0").join(equal.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).where("k > rep").select(F.col("rep").alias("u"), F.col("k").alias("v"))
     labels2 = stash(components(more), "near-labels")
     # a copy follows its set's first row
     hung = copies.join(labels2.withColumnRenamed("id", "u"), "u", "left").select(F.col("v").alias("k"), F.coalesce("component", "u").alias("component"))
     found = hung.unionAll(labels2.select(F.col("id").alias("k"), "component")).groupBy("k").agg(F.min("component").alias("component"))
     out = stash(described.select("k", F.col("n").alias("n_shingles")).join(found, "k", "left").select("k", "n_shingles", F.coalesce("component", "k").alias("component")), "near-components")
-    drop_stash(described, equal, buckets, texts, first, labels, still, sketches, rest, more)
+    drop_stash(described, equal, buckets, texts, first, labels, still, sketches, more)
     return out
 
 

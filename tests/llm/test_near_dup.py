@@ -81,3 +81,42 @@ def test_components(spark):
     got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert got == {**{i: 0 for i in range(41)}, 50: 50, 60: 50, 100: 50}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_unfinished_components_are_an_error(spark, monkeypatch):
+    import pytest
+    from tesseral.llm import components as module
+
+    monkeypatch.setattr(module, "ROUNDS", 2)
+    edges = spark.createDataFrame([(i, i + 1) for i in range(200)], "u long, v long")
+    with pytest.raises(RuntimeError, match="not found after 2 rounds"):
+        components(edges)
+
+
+def test_negative_ids_and_no_sketches(spark):
+    r = random.Random(4)
+    rows = []
+    for g in range(6):
+        base = [f"g{g}w{r.randrange(4000)}" for _ in range(400)]
+        for i in range(8):
+            own = list(base)
+            for _ in range(r.randrange(0, 9)):
+                own[r.randrange(400)] = f"x{r.randrange(10**6)}"
+            rows.append((g * 10 + i - 30, " ".join(own)))
+    rows.sort()
+    want = {rows[i][0]: rows[c][0] for i, (_, c) in enumerate(expected(rows))}
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {x.doc_id: x.component_id for x in near_dup.clusters(df).collect()} == want
+    assert {x.k: x.component for x in near_dup.near_duplicates(df, deviations=None).collect()} == want
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    import pytest
+    from types import SimpleNamespace as S
+
+    from tesseral.llm.common import shared_dir
+
+    unset = S(get=lambda *a: None)
+    for master in ("spark://host:7077", "yarn", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            shared_dir(S(conf=unset, sparkContext=S(master=master, getConf=lambda: unset)))
