@@ -1,7 +1,8 @@
 """WARC archives and revisit resolution.
 
-Headers (id, payload digest, size) are shuffled by digest, never payloads; of each group of equal payloads one record
-stays a response and the others become revisits of it. Archives are written once, in that form, with fresh headers:
+Headers (id, payload digest, size) are shuffled by digest; of each group of equal payloads one record stays a response
+and the others become revisits of it. The verdicts, which name revisits only, are a table: where the optimizer finds it
+small it is broadcast, else payloads are shuffled once, by (id, digest), which no page is hot in. Archives are written once, in that form, with fresh headers:
 one gzip member per record, files rotated by size, in the folder that the cluster shares. Every attempt of a task writes
 files of its own, and only those that the committed manifest names are read; a lost executor leaves at most unused files.
 """
@@ -95,6 +96,7 @@ def resolve(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", m
     payload = text_of(html_col).cast("binary")
     heads = pages.select(F.col(id_col).cast("long").alias("id"), F.sha1(payload).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= min_bytes)
     originals = heads.groupBy("digest").agg(F.max("id").alias("original"), F.count("*").alias("copies")).where("copies > 1 AND original IS NOT NULL")
+    originals = stash(originals.select("digest", "original"), "warc-originals")  # a table, so that a join on a hot digest can be split
     return heads.join(originals, "digest").where("NOT id <=> original").select("id", "digest", "original").distinct()
 
 
@@ -102,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
     """Writes one record per row and returns the manifest (path, records). A null payload is an empty one."""
     payload = text_of(html_col).cast("binary")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.sha1(payload).alias("digest"), payload.alias("payload"))
-    revisits = resolve(pages, id_col, html_col, min_bytes).withColumnsRenamed({"id": "r_id", "digest": "r_digest"})
+    revisits = stash(resolve(pages, id_col, html_col, min_bytes), "warc-revisits").withColumnsRenamed({"id": "r_id", "digest": "r_digest"})
     same = F.col("id").eqNullSafe(F.col("r_id")) & (F.col("digest") == F.col("r_digest"))
     rows = rows.join(revisits, same, "left").select("id", "url", "digest", "original", F.when(F.col("original").isNull(), F.col("payload")).alias("payload"))
 
@@ -183,9 +185,12 @@ def read_archives(manifest: DataFrame) -> DataFrame:
 def resolve_archives(manifest: DataFrame) -> DataFrame:
     """Per record: page_id, payload_bytes, payload_digest, record_type, refers_to. Revisits take what they lack from the response."""
     records = stash(read_archives(manifest), "warc-records")
-    originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("o_id"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest")).dropDuplicates(["refers_id"])
+    revisits = records.where("record_type = 'revisit'")
+    asked = revisits.select("refers_id").distinct()
+    originals = records.where("record_type = 'response'").select(F.col("record_id").alias("refers_id"), F.col("page_id").alias("o_id"), F.col("payload_bytes").alias("o_bytes"), F.col("payload_digest").alias("o_digest"))
+    originals = stash(originals.join(asked, "refers_id", "left_semi").dropDuplicates(["refers_id"]), "warc-responses")  # as above
     responses = records.where("record_type = 'response'").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast("long").alias("refers_to"))
-    revisits = records.where("record_type = 'revisit'").join(originals, "refers_id").select("page_id", F.col("o_bytes").alias("payload_bytes"), F.col("o_digest").alias("payload_digest"), "record_type", F.col("o_id").alias("refers_to"))
+    revisits = revisits.join(originals, "refers_id").select("page_id", F.col("o_bytes").alias("payload_bytes"), F.col("o_digest").alias("payload_digest"), "record_type", F.col("o_id").alias("refers_to"))
     return responses.unionAll(revisits)
 
 
