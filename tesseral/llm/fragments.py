@@ -30,7 +30,7 @@ _SEGMENT = 1 << 20
 _LOW = K.U((1 << 21) - 1)
 #: Different fragments under one anchor that go to a shard; more are cut again.
 HOT = 64
-REMOVED, SHARD, CUT = 1, 2, 3
+REMOVED, SHARD, CUT, MARKED = 1, 2, 3, 4
 SLOT = "a long, fh long, k long, th long, base long, s long, n int, c int, kind int"
 
 
@@ -39,8 +39,9 @@ class Plan:
     """window: length in symbols; anchors: k of each level, the last one the window itself; shard_rows: fragments a shard.
 
     symbols(data, offsets) gives hashes per symbol, the rows' bounds in symbols, and the bytes where symbols start and end.
-    first_stays: of equal windows the first is not removed. search(contents, plan) gives for a shard's fragments, in the
-    order of their places, the mask of the windows to remove, one after the other.
+    first_stays: of equal windows the first is not removed. search(contents, n, places, plan) gives for a shard's fragments,
+    in the order of their places, the mask of the windows to remove, one after the other, and None; or, with a mark (a
+    shorter length), a second mask of the symbols where a match of that length begins. places are (document, first symbol).
     """
 
     window: int
@@ -49,6 +50,7 @@ class Plan:
     first_stays: bool
     symbols: Callable
     search: Callable
+    mark: int = 0
 
 
 def anchor_places(grams: np.ndarray, width: int) -> np.ndarray:
@@ -137,11 +139,8 @@ def _scan(pieces: DataFrame, plan: Plan, k: int) -> DataFrame:
     return pieces.mapInArrow(run, SLOT)
 
 
-def _settle(fragments: DataFrame, plan: Plan) -> DataFrame:
-    """What the fragments' hashes alone decide, and which fragments need more: rows of a kind each.
-
-    Reads each partition sorted and holds no more than HOT different fragments of one anchor.
-    """
+def _settler(plan: Plan):
+    """Over a partition's batches in order of (a, fh, k, th, s): rows of a kind each. Holds at most HOT different fragments of one anchor."""
     names = ["a", "fh", "k", "th", "base", "s", "n", "c", "kind"]
 
     def step(rows: dict, hot: bool, last: bool):
@@ -180,7 +179,7 @@ def _settle(fragments: DataFrame, plan: Plan) -> DataFrame:
         for batch in batches:
             rows = {c: batch.column(c).to_numpy().astype(np.int64) for c in names}
             if carry is not None:
-                hot = hot and len(rows["a"]) > 0 and len(carry["a"]) > 0
+                hot = hot and len(carry["a"]) > 0
                 rows = {c: np.concatenate([carry[c], rows[c]]) for c in names}
             if len(rows["a"]):
                 out, carry, hot = step(rows, hot, False)
@@ -190,8 +189,13 @@ def _settle(fragments: DataFrame, plan: Plan) -> DataFrame:
             for x in step(carry, hot, True)[0]:
                 yield _batch(x)
 
+    return run
+
+
+def _settle(fragments: DataFrame, plan: Plan) -> DataFrame:
+    """What the fragments' hashes alone decide, and which fragments need more: rows of a kind each."""
     parts = max(1, int(fragments.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return fragments.repartition(parts, "a").sortWithinPartitions("a", "fh", "k", "th", "s").mapInArrow(run, SLOT)
+    return fragments.repartition(parts, "a").sortWithinPartitions("a", "fh", "k", "th", "s").mapInArrow(_settler(plan), SLOT)
 
 
 def _contents(slots: DataFrame, pieces: DataFrame, plan: Plan) -> DataFrame:
@@ -216,8 +220,19 @@ def _contents(slots: DataFrame, pieces: DataFrame, plan: Plan) -> DataFrame:
     return rows.mapInArrow(run, "kind int, a long, k long, th long, s long, n int, content binary")
 
 
+def _runs_of(mask: np.ndarray, sizes: np.ndarray, k: np.ndarray, th: np.ndarray, s: np.ndarray, kind: int) -> pa.Table:
+    """The runs of a mask over rows of these sizes, where the rows begin at s: (k, th, s, n, kind)."""
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    within = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    new = mask.copy()
+    new[1:] &= ~(mask[:-1] & (row[1:] == row[:-1]))
+    first = np.flatnonzero(new)
+    run_of = np.cumsum(new)[mask] - 1
+    return pa.table({"k": k[row[first]], "th": th[row[first]], "s": s[row[first]] + within[first], "n": pa.array(np.bincount(run_of, minlength=len(first)), pa.int32()), "kind": pa.array(np.full(len(first), kind), pa.int32())})
+
+
 def _shards(contents: DataFrame, rows: int, plan: Plan) -> DataFrame:
-    """Removed runs that the shards' indices find: (k, th, s, n)."""
+    """Runs that the shards' indices find: (k, th, s, n, kind), of windows to remove and of starts of marked matches."""
     n_shards = max(1, -(-rows // plan.shard_rows))
 
     def run(table: pa.Table) -> pa.Table:
@@ -227,31 +242,33 @@ def _shards(contents: DataFrame, rows: int, plan: Plan) -> DataFrame:
         once[1:] = (k[1:] != k[:-1]) | (th[1:] != th[:-1]) | (s[1:] != s[:-1])
         if not once.all():
             table = table.filter(pa.array(once)).combine_chunks()
-        n = table.column("n").to_numpy()
-        mask = plan.search(table.column("content"), n, plan)
-        row = np.repeat(np.arange(len(n)), n)
-        within = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        new = mask.copy()
-        new[1:] &= ~(mask[:-1] & (row[1:] == row[:-1]))
-        first = np.flatnonzero(new)
-        run_of = np.cumsum(new)[mask] - 1
-        return pa.table({"k": table.column("k").to_numpy()[row[first]], "th": table.column("th").to_numpy()[row[first]], "s": table.column("s").to_numpy()[row[first]] + within[first], "n": pa.array(np.bincount(run_of, minlength=len(first)), pa.int32())})
+        k, th, s, n = (table.column(c).to_numpy() for c in ("k", "th", "s", "n"))
+        doc = np.ones(len(k), bool)
+        doc[1:] = (k[1:] != k[:-1]) | (th[1:] != th[:-1])
+        mask, marked = plan.search(table.column("content"), n, (np.cumsum(doc), s), plan)
+        out = [_runs_of(mask, n, k, th, s, REMOVED)]
+        if marked is not None:
+            out.append(_runs_of(marked, n + plan.window - 1, k, th, s, MARKED))
+        return pa.concat_tables(out)
 
     shard = F.pmod(F.xxhash64("a"), F.lit(n_shards))
-    return contents.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "k long, th long, s long, n int")
+    return contents.withColumn("shard", shard).groupBy("shard").applyInArrow(run, "k long, th long, s long, n int, kind int")
 
 
 def removed_runs(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(k, th, runs): by document the runs (s, n) of windows to remove, unsorted; documents without any are left out."""
+    """(k, th, runs, marks): by document the runs (s, n) of windows to remove and of marked starts, unsorted.
+
+    Documents without any are left out.
+    """
     pieces = docs.select(*key_columns(id_col, text_col), F.lit(0).cast("long").alias("base"))
     found, used = [], []
     for level, k in enumerate(plan.anchors):
         scanned = stash(_scan(pieces, plan, k), "fragments")
         settled = stash(_settle(scanned.where("kind = 0"), plan), "settled")
-        early = stash(scanned.where(F.col("kind") == REMOVED).select("k", "th", "s", "n"), "early")
+        early = stash(scanned.where(F.col("kind") == REMOVED).select("k", "th", "s", "n", "kind"), "early")
         drop_stash(scanned)
         used += [settled, early]
-        found += [early, settled.where(F.col("kind") == REMOVED).select("k", "th", "s", "n")]
+        found += [early, settled.where(F.col("kind") == REMOVED).select("k", "th", "s", "n", "kind")]
         rows = {r["kind"]: r["n"] for r in settled.groupBy("kind").agg(F.count("*").alias("n")).collect()}
         if not rows.get(SHARD) and not rows.get(CUT):
             break
@@ -266,16 +283,17 @@ def removed_runs(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col:
     out = found[0]
     for x in found[1:]:
         out = out.unionAll(x)
-    out = stash(out.groupBy("k", "th").agg(F.collect_list(F.struct("s", "n")).alias("runs")), "runs")
+    listed = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("s", "n")))
+    out = stash(out.groupBy("k", "th").agg(listed(REMOVED).alias("runs"), listed(MARKED).alias("marks")), "runs")
     drop_stash(*used)
     return out
 
 
 def with_runs(docs: DataFrame, plan: Plan, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """All rows of docs: the columns to keep, with _ before their names, then k, text, runs (null if nothing goes)."""
+    """All rows of docs: the columns to keep, with _ before their names, then k, text, runs and marks (null if there are none)."""
     runs = removed_runs(docs, plan, id_col, text_col)
     own = docs.select(*[F.col(f"`{c}`").alias(f"_{c}") for c in keep], *key_columns(id_col, text_col))
-    return own.join(runs, ["k", "th"], "left").select(*[F.col(f"`_{c}`") for c in keep], "k", "text", "runs")
+    return own.join(runs, ["k", "th"], "left").select(*[F.col(f"`_{c}`") for c in keep], "k", "text", "runs", "marks")
 
 
 def covered_symbols(lists: pa.Array, first_row: int, rows: int, bounds: np.ndarray, window: int) -> np.ndarray:

@@ -27,7 +27,7 @@ def word_symbols(data: np.ndarray, offsets: np.ndarray):
     return K.word_hashes(data, starts, ends), bounds, starts, ends
 
 
-def search(contents: pa.Array, n: np.ndarray, plan: Plan) -> np.ndarray:
+def search(contents: pa.Array, n: np.ndarray, places: tuple, plan: Plan) -> tuple[np.ndarray, None]:
     """For the fragments in the order of their places: which windows also start at an earlier one."""
     data, offsets = K.flat(contents)
     hashes, bounds, _, _ = word_symbols(data, offsets)
@@ -43,7 +43,7 @@ def search(contents: pa.Array, n: np.ndarray, plan: Plan) -> np.ndarray:
     out = np.zeros(len(starts), bool)
     some = np.flatnonzero(matched == plan.window)
     out[some] = index.earliest(lo[some], hi[some]) != starts[some]
-    return out
+    return out, None
 
 
 def plan_of(window: int = WINDOW) -> Plan:
@@ -77,7 +77,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
     def run(batches):
         for batch in batches:
             text, lists = batch.column("text"), batch.column("runs")
-            own = batch.drop_columns(["text", "runs"])
+            own = batch.drop_columns(["text", "runs", "marks"])
             for i, j, data, offsets in K.chunks(text):
                 starts, ends, bounds = K.words(data, offsets)
                 gone = covered_symbols(lists, i, j - i, bounds, window)
@@ -88,7 +88,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", wi
                 part = own.slice(i, j - i)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds)), pa.array(sums[bounds[1:]] - sums[bounds[:-1]]), kept], names=[*part.schema.names, "n_words", "n_removed", "kept"])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("text", "runs"))
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name not in ("text", "runs", "marks"))
     return rows.mapInArrow(run, f"{fields}, n_words long, n_removed long, kept string")
 
 
