@@ -1,4 +1,8 @@
-"""Connected components by alternating large-star and small-star, each round in a table in the shared folder."""
+"""Connected components by alternating large-star and small-star, each step in a table in the shared folder.
+
+The least neighbours of a step are a table of their own: where the optimizer finds it small it is broadcast, else the
+join stands alone in its stage, where the partition of a hot id is split.
+"""
 
 from __future__ import annotations
 
@@ -11,16 +15,21 @@ ROUNDS = 50
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
+    """Every larger neighbour of an id is linked to the id's least neighbour, or to the id if that is less."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = stash(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
+    out = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    drop_stash(least)
+    return out
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    linked = down.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    return linked.unionAll(least.select("u", F.col("m").alias("v")))
+    """Every smaller neighbour of an id, and the id, are linked to the least of them. Edges point from the larger id."""
+    least = stash(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    linked = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    out = stash(linked.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    drop_stash(least)
+    return out
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,7 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
         if turn == ROUNDS:
             raise RuntimeError(f"components are not found after {ROUNDS} rounds")
         seen = state
-        after = stash(_small_star(_large_star(now)).where("u <> v").distinct(), "edges")
-        drop_stash(now)
+        large = _large_star(now)
+        after = _small_star(large)
+        drop_stash(now, large)
         now = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
