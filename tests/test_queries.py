@@ -2,6 +2,9 @@
 
 import importlib
 import os
+import shutil
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -60,3 +63,16 @@ def test_nothing_else_imports_the_subpackage():
             for n in names:
                 if n.endswith(".py"):
                     assert "llm" not in open(f"{folder}/{n}").read(), n
+
+
+def test_without_the_subpackage(tmp_path):
+    """With its folders gone, and the pipeline there or gone too, the entry gives the other queries."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "r", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    say = "import __spark_entry__ as e; print('NAMES', len(e.queries()), len(e.oracle_sql()), [n for n in e.queries() if n.startswith('op') or n == 'pipeline'])"
+    for gone in (None, "corpus_pipeline.py"):
+        if gone:
+            (tmp_path / "r" / gone).unlink(missing_ok=True)
+        out = subprocess.run([sys.executable, "-c", say], cwd=tmp_path / "r", env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"}, capture_output=True, text=True)
+        assert out.returncode == 0, out.stderr
+        assert f"NAMES {len(reference.QUERIES)} {len(reference.ORACLES)} []" in out.stdout
