@@ -72,11 +72,16 @@ def severity_bin(median) -> Column:
 
 
 def coerce_confidence(raw, default: float = 0.5) -> Column:
-    """A level's name, a share, or a percentage, as a number from 0 to 1."""
-    s = F.lower(F.trim(col(raw).cast("string")))
-    n = s.try_cast("double")
+    """A level's name, a share, a percentage or a truth value, each a VARIANT, as a number from 0 to 1.
+
+    A text that is no level's name says nothing, even if it holds digits.
+    """
+    v = col(raw)
+    kind = F.schema_of_variant(v)
+    s, n = F.lower(F.try_variant_get(v, "$", "string")), F.try_variant_get(v, "$", "double")
     named = F.when(s == "error", 0.8).when(s == "warning", 0.5).when(s == "note", 0.3)
-    return F.coalesce(named, F.when(n.between(0, 1), n).when(n.between(1, 100), n / 100).when(n > 100, 1.0).when(n < 0, 0.0), F.lit(default))
+    number = F.when(n.between(0, 1), n).when(n.between(1, 100), n / 100).when(n > 100, 1.0).when(n < 0, 0.0)
+    return F.coalesce(F.when(kind == "STRING", named).when(~kind.isin("VOID") & ~kind.startswith("OBJECT") & ~kind.startswith("ARRAY"), number), F.lit(default))
 
 
 def parents_table(spark: SparkSession) -> DataFrame:
@@ -88,13 +93,17 @@ def medians_table(spark: SparkSession) -> DataFrame:
 
 
 def closure(spark: SparkSession, edges: DataFrame) -> DataFrame:
-    """(descendant, ancestor, depth): the least number of steps. Cycles end, as a depth is bounded by the number of edges."""
+    """(descendant, ancestor, depth): the least number of steps. No shortest way is longer than there are children, which ends cycles too.
+
+    A hierarchy deeper than spark.sql.cteRecursionLevelLimit is an error, not a shorter result.
+    """
     edges.createOrReplaceTempView("_closure_edges")
+    children = edges.select("child").distinct().count()
     return spark.sql(
-        """WITH RECURSIVE up(descendant, ancestor, depth) AS (
+        f"""WITH RECURSIVE up(descendant, ancestor, depth) AS (
              SELECT child, parent, 1 FROM _closure_edges
              UNION ALL
-             SELECT up.descendant, e.parent, up.depth + 1 FROM up JOIN _closure_edges e ON e.child = up.ancestor WHERE up.depth < 16)
+             SELECT up.descendant, e.parent, up.depth + 1 FROM up JOIN _closure_edges e ON e.child = up.ancestor WHERE up.depth < {children})
            SELECT descendant, ancestor, min(depth) AS depth FROM up WHERE descendant <> ancestor GROUP BY descendant, ancestor"""
     )
 

@@ -18,6 +18,9 @@ C_TRIVIAL = ("", "return 0;", "return;", "return 1;", "return -1;", "exit(0);")
 CPP_HINTS = (r"\bclass\s+\w+", r"\bnamespace\s+\w+", r"\btemplate\s*<", "::", r"\bstd::")
 FENCE = r"(?s)```(?:python|py|cpp|c\+\+|c)?[ \t]*\n(.*?)```"
 OPEN_FENCE = r"(?s)```(?:python|py|cpp|c\+\+|c)?[ \t]*\n(.*)$"
+#: White space and line ends in Unicode's sense, as classes that Java's expressions and RE2 both read.
+WHITE = r"[\t-\r\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+LINE_END = r"\r\n|[\n-\r\x1c-\x1e\x85\x{2028}\x{2029}]"
 TOKEN = r"cwe-[0-9]+|cve-[0-9]+(?:-[0-9]+)+|[a-z_][a-z0-9_]*|[0-9]+"
 
 
@@ -85,29 +88,45 @@ def fenced_code(text) -> Column:
     return F.when(F.size(found) > 0, F.array_join(found, "\n\n")).when(col(text).rlike(OPEN_FENCE), tail).otherwise(col(text))
 
 
+def strip(text) -> Column:
+    """Without white space at both ends."""
+    return F.regexp_replace(col(text), rf"^{WHITE}+|{WHITE}+\z", "")
+
+
 def lines(text) -> Column:
-    return F.filter(F.split(col(text), "\n"), lambda x: F.trim(x) != "")
+    """The lines that are not blank, whatever ends them."""
+    return F.filter(F.split(col(text), LINE_END), lambda x: strip(x) != "")
+
+
+def code_lines(text) -> Column:
+    """The lines that are neither blank nor a comment."""
+    return F.filter(lines(text), lambda x: ~strip(x).startswith("#") & ~strip(x).startswith("//"))
+
+
+def _python_inner(kept: Column) -> Column:
+    """What these lines hold below a def or class in the first of them, else all of it; lower case."""
+    trimmed = F.transform(kept, lambda x: strip(x))
+    head = F.coalesce(F.try_element_at(trimmed, F.lit(1)), F.lit(""))
+    below = F.array_join(F.slice(trimmed, 2, 1000000), " ")
+    return F.lower(strip(F.when(head.startswith("def ") | head.startswith("class "), below).otherwise(F.array_join(kept, "\n"))))
 
 
 def refusal(text) -> Column:
     """The first line that is not blank begins with a refusal, and no code marker is in the text."""
-    first = F.lower(F.trim(F.coalesce(F.try_element_at(lines(text), F.lit(1)), F.lit(""))))
+    first = F.lower(strip(F.coalesce(F.try_element_at(lines(text), F.lit(1)), F.lit(""))))
     return ~any_of([col(text).contains(m) for m in CODE_MARKERS]) & any_of([first.startswith(p) for p in REFUSALS])
 
 
 def stub_reason(text, language) -> Column:
     """Why a completion counts as a stub, or null: too little code, or a trivial body."""
-    kept = F.filter(lines(text), lambda x: ~F.trim(x).startswith("#") & ~F.trim(x).startswith("//"))
-    body = F.lower(F.trim(F.array_join(kept, "\n")))
+    kept = code_lines(text)
+    body = F.lower(strip(F.array_join(kept, "\n")))
     short = F.length(F.regexp_replace(F.array_join(kept, "\n"), "[ \\t]", "")) < 20
-    trimmed = F.transform(kept, lambda x: F.trim(x))
-    head = F.coalesce(F.try_element_at(trimmed, F.lit(1)), F.lit(""))
-    rest = F.lower(F.trim(F.array_join(F.slice(trimmed, 2, 1000000), " ")))
-    inner = F.when(head.startswith("def ") | head.startswith("class "), rest).otherwise(body)
+    inner = _python_inner(kept)
     trivial_py = any_of([inner.endswith(t) & (F.length(inner) <= len(t) + 4) for t in PY_TRIVIAL])
     opened, closed = F.instr(body, "{"), F.length(body) - F.instr(F.reverse(body), "}") + 1
     has_body = (opened > 0) & (F.instr(F.reverse(body), "}") > 0) & (opened < closed)
-    between = F.when(has_body, F.trim(F.substr(body, opened + 1, closed - opened - 1))).otherwise(body)
+    between = F.when(has_body, strip(F.substr(body, opened + 1, closed - opened - 1))).otherwise(body)
     return F.when(short, F.lit("short")).when((F.lower(col(language)) == "python") & trivial_py, F.lit("py_trivial")).when(F.lower(col(language)).isin("c", "cpp", "c++") & between.isin(*C_TRIVIAL), F.lit("c_trivial"))
 
 
@@ -117,8 +136,8 @@ def cpp_or_c(text) -> Column:
 
 def signature_hint(text) -> Column:
     """The first line with a parenthesis that is no comment and no directive, without a brace at its end."""
-    found = F.filter(F.transform(F.split(col(text), "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("//") & ~x.startswith("/*") & ~x.startswith("*") & ~x.startswith("#") & x.contains("("))
-    return F.trim(F.regexp_replace(F.try_element_at(found, F.lit(1)), r"\{+$", ""))
+    found = F.filter(F.transform(lines(text), lambda x: strip(x)), lambda x: ~x.startswith("//") & ~x.startswith("/*") & ~x.startswith("*") & ~x.startswith("#") & x.contains("("))
+    return strip(F.regexp_replace(F.try_element_at(found, F.lit(1)), r"\{+\z", ""))
 
 
 def drop_second_main(text) -> Column:
@@ -137,11 +156,8 @@ def first_fence(text) -> Column:
 def is_stub(text, language) -> Column:
     """The evaluation's rule: the first fence counts, and a scaffold left to do with hardly more than pass is a stub too."""
     code = first_fence(text)
-    kept = F.filter(lines(code), lambda x: ~F.trim(x).startswith("#") & ~F.trim(x).startswith("//"))
-    trimmed = F.transform(kept, lambda x: F.trim(x))
-    head = F.coalesce(F.try_element_at(trimmed, F.lit(1)), F.lit(""))
-    inner = F.lower(F.trim(F.array_join(F.when(head.startswith("def ") | head.startswith("class "), F.slice(trimmed, 2, 1000000)).otherwise(trimmed), " ")))
-    left = F.length(F.trim(F.replace(inner, F.lit("pass"), F.lit(""))))
+    inner = _python_inner(code_lines(code))
+    left = F.length(strip(F.replace(inner, F.lit("pass"), F.lit(""))))
     scaffold = (F.lower(col(language)) == "python") & code.rlike(r"(?i)#\s*TODO[: ]\s*Implement") & inner.contains("pass") & (left < 30)
     return stub_reason(code, language).isNotNull() | scaffold
 

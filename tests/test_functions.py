@@ -27,7 +27,8 @@ def test_normalize_language(spark):
 def test_severity_and_confidence(spark):
     assert values(spark, cwe.tier("x"), [9.0, 7.0, 4.0, 3.9, None], kind="double") == ["critical", "high", "medium", "low", "medium"]
     assert values(spark, cwe.severity_bin("x"), [8.8, 5.5, 3.65, None], kind="double") == ["high", "medium", "low", None]
-    assert values(spark, cwe.coerce_confidence("x"), ["error", "Warning", "note", "0.7", "85", "200", "-3", "HIGH", None]) == [0.8, 0.5, 0.3, 0.7, 0.85, 1.0, 0.0, 0.5, 0.5]
+    given = ['"error"', '"Warning"', '"note"', "0.7", "85", "200", "-3", '"HIGH"', '"85"', "true", "null", "{}", None]
+    assert values(spark, cwe.coerce_confidence(F.parse_json("x")), given) == [0.8, 0.5, 0.3, 0.7, 0.85, 1.0, 0.0, 0.5, 0.5, 1.0, 0.5, 0.5, 0.5]
 
 
 def test_scope(spark):
@@ -63,7 +64,8 @@ def test_code_extraction(spark):
 
 
 def test_refusal(spark):
-    assert values(spark, text.refusal("x"), ["\n I cannot do it", "As an AI model", "I cannot\ndef f(): pass", "Sure", ""]) == [True, True, False, False, False]
+    given = ["\n I cannot do it", "As an AI model", "I cannot\ndef f(): pass", "Sure", "", "\r\n\tI cannot", "\u2028\xa0I won't\x0bdo it", "Sure\rI cannot"]
+    assert values(spark, text.refusal("x"), given) == [True, True, False, False, False, True, True, False]
 
 
 def test_stub(spark):
@@ -71,6 +73,8 @@ def test_stub(spark):
     assert values(spark, py, ["def f(x):\n    pass", "def compute_everything(x, y):\n    pass", "def compute(x):\n    y = x * 2\n    return y + 1", "# only\n# comments here and more"]) == ["short", "py_trivial", None, "short"]
     c = text.stub_reason("x", F.lit("c"))
     assert values(spark, c, ["int main(int argc, char **argv) { return 0; }", "int add(int a, int b) { return a + b; }"]) == ["c_trivial", None]
+    assert values(spark, py, ["def compute_everything(x, y):\r\n\tpass\r\n", "\t# comment\r\tdef compute_everything(x):\r\t\treturn None", "y = compute_everything(x)\n\t\x1cpass"]) == ["py_trivial", "py_trivial", None]
+    assert values(spark, c, ["int main(int argc, char **argv) {\r\n\treturn 0;\r\n}\t", "\t// { return 0; } and more of it\r\n"]) == ["c_trivial", "short"]
 
 
 def test_well_formed(spark):
@@ -78,7 +82,7 @@ def test_well_formed(spark):
 
 
 def test_signature_and_language(spark):
-    assert values(spark, text.signature_hint("x"), ["// f(x)\n#define A(x)\nint f(int x) {\n"]) == ["int f(int x)"]
+    assert values(spark, text.signature_hint("x"), ["// f(x)\n#define A(x)\nint f(int x) {\n", "\t// call(me)\nint f(int x) {", "\r\n\t/* a(b) */\r\tint g(void)\t{{\r\n", "none"]) == ["int f(int x)", "int f(int x)", "int g(void)", None]
     assert values(spark, text.cpp_or_c("x"), ["std::x", "class A", "template <T>", "int f()"]) == ["cpp", "cpp", "cpp", "c"]
 
 
