@@ -10,9 +10,9 @@ from ..functions import cwe
 BOOST, MAX_CONFIDENCE = 0.15, 1.0
 
 _LOCATION = "physicalLocation STRUCT<artifactLocation: STRUCT<uri: STRING>, region: STRUCT<startLine: INT, startColumn: INT, endLine: INT, endColumn: INT>>"
-_PROPERTIES = "properties: STRUCT<tags: ARRAY<STRING>, cwe: STRING, confidence: STRING, `security-severity`: STRING>"
+_PROPERTIES = "properties: STRUCT<tags: ARRAY<STRING>, cwe: STRING, confidence: VARIANT, `security-severity`: STRING>"
 _RULE = f"STRUCT<id: STRING, relationships: ARRAY<STRUCT<target: STRUCT<id: STRING, toolComponent: STRUCT<name: STRING>>>>, {_PROPERTIES}>"
-SARIF = f"runs ARRAY<STRUCT<tool: STRUCT<driver: STRUCT<name: STRING, rules: ARRAY<{_RULE}>>>, results: ARRAY<STRUCT<ruleId: STRING, level: STRING, message: STRUCT<text: STRING>, {_PROPERTIES}, locations: ARRAY<STRUCT<{_LOCATION.replace('physicalLocation ', 'physicalLocation: ')}>>>>>>"
+SARIF = f"runs ARRAY<STRUCT<tool: STRUCT<driver: STRUCT<name: STRING, rules: ARRAY<{_RULE}>>>, results: ARRAY<STRUCT<ruleId: STRING, rule: STRUCT<id: STRING>, level: VARIANT, message: VARIANT, {_PROPERTIES}, locations: ARRAY<STRUCT<{_LOCATION.replace('physicalLocation ', 'physicalLocation: ')}>>>>>>"
 
 # Rules of two tools that name no weakness, and the weakness that their documentation cites.
 BANDIT = {
@@ -42,37 +42,50 @@ CPPCHECK = {
 }
 
 
-def _id(text: Column, pattern: str = r"(?i)cwe[-_/]?0*([0-9]+)") -> Column:
+def _id(text: Column, pattern: str = r"(?i)cwe-0*([0-9]+)") -> Column:
     n = F.regexp_extract(text, pattern, 1)
     return F.when(n != "", F.concat(F.lit("CWE-"), n))
 
 
+def _taxon(target: Column) -> Column:
+    """The weakness that a relation's target names: digits, with or without the prefix; another id with the prefix as it is."""
+    own = F.upper(F.trim(target["id"]))
+    named = F.coalesce(_id(own, r"^(?:CWE-)?0*([0-9]+)$"), F.when(own.startswith("CWE-"), own))
+    return F.when(F.upper(target["toolComponent"]["name"]) == "CWE", named)
+
+
 def resolve_cwe(tool: Column, rule_id: Column, rule: Column) -> Column:
     """From the rule's relations, then its tags, its property, the tool's table, and its own name."""
-    taxa = F.filter(F.transform(rule["relationships"], lambda r: F.when(F.lower(r["target"]["toolComponent"]["name"]) == "cwe", _id(F.concat(F.lit("CWE-"), F.regexp_extract(r["target"]["id"], "([0-9]+)", 1))))), lambda x: x.isNotNull())
+    taxa = F.filter(F.transform(rule["relationships"], lambda r: _taxon(r["target"])), lambda x: x.isNotNull())
     tags = F.filter(F.transform(rule["properties"]["tags"], lambda t: _id(t)), lambda x: x.isNotNull())
     own = F.when(F.lower(tool) == "bandit", F.element_at(cwe.mapping(BANDIT), rule_id)).when(F.lower(tool) == "cppcheck", F.element_at(cwe.mapping(CPPCHECK), rule_id))
-    return F.coalesce(F.try_element_at(taxa, F.lit(1)), F.try_element_at(tags, F.lit(1)), _id(rule["properties"]["cwe"]), own, _id(rule_id))
+    return F.coalesce(F.try_element_at(taxa, F.lit(1)), F.try_element_at(tags, F.lit(1)), _id(rule["properties"]["cwe"]), _id(rule["properties"]["cwe"], r"^\s*0*([0-9]+)\s*$"), own, _id(rule_id))
 
 
 def parse_sarif(documents: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """One row per usable result: id, tool, rule_id, cwe, severity, tier, confidence, file, start_line, message.
+    """One row per usable result: id, tool, rule_id, cwe, severity, tier, confidence, file, the region's bounds, message.
 
-    Results without a weakness or a place, or with a confidence below their tier's floor, are left out.
+    The rule is named by ruleId or by rule.id; of rules with one id the last counts. A message is a text or an object with
+    one. Results without a weakness or a place, or with a confidence below their tier's floor, are left out.
     """
     runs = documents.select(id_col, F.explode(F.from_json(json_col, SARIF)["runs"]).alias("run"))
     rows = runs.select(id_col, F.col("run.tool.driver.name").alias("tool"), F.col("run.tool.driver.rules").alias("rules"), F.explode("run.results").alias("r"))
-    rule = F.try_element_at(F.filter("rules", lambda x: x["id"] == F.col("r.ruleId")), F.lit(1))
-    rows = rows.withColumn("rule", rule).withColumn("cwe", resolve_cwe(F.col("tool"), F.col("r.ruleId"), F.col("rule")))
+    rows = rows.withColumn("rule_id", F.coalesce(F.when(F.col("r.ruleId") != "", F.col("r.ruleId")), F.when(F.col("r.rule.id") != "", F.col("r.rule.id"))))
+    rule = F.try_element_at(F.filter("rules", lambda x: x["id"] == F.col("rule_id")), F.lit(-1))
+    rows = rows.withColumn("rule", rule).withColumn("cwe", resolve_cwe(F.col("tool"), F.col("rule_id"), F.col("rule")))
     severity = F.coalesce(F.col("rule.properties.`security-severity`").try_cast("double"), F.col("r.properties.`security-severity`").try_cast("double"))
     rows = rows.withColumn("severity", severity).withColumn("tier", cwe.tier("severity"))
     ladder = F.when(F.col("severity") >= 7, 0.8).when(F.col("severity") >= 4, 0.5).when(F.col("severity").isNotNull(), 0.3).otherwise(0.5)
-    named = F.when(F.col("r.level").isNotNull(), cwe.coerce_confidence("r.level")).when(F.col("r.properties.confidence").isNotNull(), cwe.coerce_confidence("r.properties.confidence")).otherwise(ladder)
+    given = lambda c: F.col(c).isNotNull() & ~F.is_variant_null(c)
+    named = F.when(given("r.level"), cwe.coerce_confidence("r.level")).when(given("r.properties.confidence"), cwe.coerce_confidence("r.properties.confidence")).otherwise(ladder)
     raised = F.when(F.col("severity") >= 7, F.greatest(named, F.lit(0.8))).when(F.col("severity") >= 4, F.greatest(named, F.lit(0.5))).otherwise(named)
     place = F.try_element_at(F.filter("r.locations", lambda x: x["physicalLocation"]["artifactLocation"]["uri"].isNotNull() & x["physicalLocation"]["region"]["startLine"].isNotNull()), F.lit(1))["physicalLocation"]
     rows = rows.withColumn("confidence", raised).withColumn("place", place)
     usable = rows.where(F.col("cwe").isNotNull() & F.col("place").isNotNull() & (F.col("confidence") >= F.element_at(cwe.mapping(cwe.FLOORS), F.col("tier"))))
-    return usable.select(id_col, "tool", F.col("r.ruleId").alias("rule_id"), "cwe", "severity", "tier", "confidence", F.col("place.artifactLocation.uri").alias("file"), F.col("place.region.startLine").alias("start_line"), F.coalesce("r.message.text", F.lit("")).alias("message"))
+    region = [F.col(f"place.region.{n}").alias(a) for n, a in (("startLine", "start_line"), ("startColumn", "start_column"), ("endLine", "end_line"), ("endColumn", "end_column"))]
+    kind = F.schema_of_variant("r.message")
+    said = F.when(kind.startswith("OBJECT"), F.try_variant_get("r.message", "$.text", "string")).when(kind != "VOID", F.col("r.message").cast("string"))
+    return usable.select(id_col, "tool", "rule_id", "cwe", "severity", "tier", "confidence", F.col("place.artifactLocation.uri").alias("file"), *region, F.coalesce(said, F.lit("")).alias("message"))
 
 
 def merge(findings: DataFrame, keys: list[str], carried: list[str], order: list[str]) -> DataFrame:
@@ -85,7 +98,7 @@ def merge(findings: DataFrame, keys: list[str], carried: list[str], order: list[
 
 def source_severity(findings: DataFrame, medians: DataFrame, key: str = "cwe") -> DataFrame:
     """Adds sourced and severity_source: the tool's number, else the weakness's median, else the tier's middle."""
-    j = findings.join(F.broadcast(medians.withColumnRenamed("median", "_median")), key, "left")
+    j = findings.join(medians.withColumnRenamed("median", "_median"), key, "left")
     middle = F.element_at(cwe.mapping(cwe.MIDPOINTS), F.col("tier"))
     return j.withColumn("sourced", F.coalesce("severity", "_median", middle)).withColumn("severity_source", F.when(F.col("severity").isNotNull(), "tool").when(F.col("_median").isNotNull(), "median").otherwise("tier")).drop("_median")
 
@@ -93,17 +106,19 @@ def source_severity(findings: DataFrame, medians: DataFrame, key: str = "cwe") -
 def collapse_related(findings: DataFrame, closure: DataFrame, place: list[str]) -> DataFrame:
     """Adds final_cwe: at one place, weaknesses that the closure relates become the most specific of them.
 
-    A place has few weaknesses; what is related there is found by widening each one's set with the sets that it touches,
-    as often as a place could need, over arrays.
+    A place has at most as many weaknesses as the hierarchy; what is related there is found over arrays, by widening each
+    one's set with the sets that it touches, once more than the number of weaknesses can be halved: then nothing moves.
     """
     related = closure.select(F.col("descendant").alias("cwe"), F.col("ancestor").alias("other")).unionAll(closure.select(F.col("ancestor").alias("cwe"), F.col("descendant").alias("other")))
     at = findings.select(*place, "cwe").distinct()
-    linked = at.join(F.broadcast(related), "cwe").join(at.withColumnRenamed("cwe", "other"), [*place, "other"])
+    linked = at.join(related, "cwe").join(at.withColumnRenamed("cwe", "other"), [*place, "other"])
     sets = at.join(linked.groupBy(*place, "cwe").agg(F.collect_set("other").alias("o")), [*place, "cwe"], "left").select(*place, "cwe", F.array_union(F.array("cwe"), F.coalesce("o", F.array().cast("array<string>"))).alias("s"))
-    for _ in range(4):  # the hierarchy is not deeper
-        all_sets = sets.groupBy(*place).agg(F.collect_list("s").alias("all"))
-        sets = sets.join(all_sets, place).select(*place, "cwe", F.array_sort(F.aggregate("all", F.col("s"), lambda s, x: F.when(F.arrays_overlap(s, x), F.array_union(s, x)).otherwise(s))).alias("s"))
+    widened = lambda every, s: F.aggregate(every, s, lambda a, x: F.when(F.arrays_overlap(a, x), F.array_union(a, x)).otherwise(a))
+    turns = F.sequence(F.lit(0), F.ceil(F.log2(F.size("all"))).cast("int"))
+    settled = F.aggregate(turns, F.col("all"), lambda every, _: F.transform(every, lambda s: widened(every, s)))
+    at_place = sets.groupBy(*place).agg(F.collect_list("cwe").alias("cwes"), F.collect_list("s").alias("all"))
+    sets = at_place.withColumn("sets", settled).select(*place, F.explode(F.arrays_zip("cwes", "sets")).alias("x")).select(*place, F.col("x.cwes").alias("cwe"), F.array_sort("x.sets").alias("s"))
     up = closure.groupBy("ancestor").agg(F.collect_set("descendant").alias("below"))
-    each = sets.select(*place, "cwe", F.explode("s").alias("m"), "s").join(F.broadcast(up), F.col("m") == F.col("ancestor"), "left")
+    each = sets.select(*place, "cwe", F.explode("s").alias("m"), "s").join(up, F.col("m") == F.col("ancestor"), "left")
     specific = each.where(F.col("below").isNull() | ~F.arrays_overlap("below", "s")).groupBy(*place, "cwe").agg(F.min("m").alias("final_cwe"))
     return findings.join(specific, [*place, "cwe"], "left")

@@ -19,17 +19,39 @@ query = R.query
 
 
 def _result(rule, level, line, message=None, **properties):
-    return {"ruleId": rule, "level": level, "message": {"text": message} if message else {}, "properties": properties, "locations": [{"physicalLocation": {"artifactLocation": {"uri": "a.py"}, "region": {"startLine": line}}}] if line else []}
+    place = {"physicalLocation": {"artifactLocation": {"uri": "a.py"}, "region": {"startLine": line, "startColumn": 5, "endLine": (line or 0) + 1, "endColumn": 9}}}
+    return {"ruleId": rule, "level": level, "message": {"text": message} if message else {}, "properties": properties, "locations": [place] if line else []}
+
+
+def _taxon(rule, taxon, name="CWE", **properties):
+    return {"id": rule, "relationships": [{"target": {"id": taxon, "toolComponent": {"name": name}}}], "properties": properties}
 
 
 SARIF_ROWS = [
     {"runs": [{"tool": {"driver": {"name": "Bandit", "rules": [{"id": "B602", "properties": {"security-severity": "8.8"}}]}}, "results": [_result("B602", "warning", 3, "shell"), _result("B999", "error", 4), _result("B101", None, 5), _result("B608", "error", None)]}]},
-    {"runs": [{"tool": {"driver": {"name": "CodeQL", "rules": [{"id": "py/sql", "relationships": [{"target": {"id": "089", "toolComponent": {"name": "CWE"}}}], "properties": {"tags": ["security", "external/cwe/cwe-564"], "security-severity": "9.9"}}, {"id": "py/x", "properties": {"tags": ["external/cwe/cwe-079"]}}]}}, "results": [_result("py/sql", "warning", 3), _result("py/x", "note", 9)]}]},
-    {"runs": [{"tool": {"driver": {"name": "Cppcheck", "rules": []}}, "results": [_result("nullPointer", "error", 12), _result("custom-CWE-22-rule", None, 14, confidence="90")]}]},
+    {"runs": [{"tool": {"driver": {"name": "CodeQL", "rules": [_taxon("py/sql", "089", tags=["security", "external/cwe/cwe-564"], **{"security-severity": "9.9"}), {"id": "py/x", "properties": {"tags": ["external/cwe/cwe-079"]}}, _taxon("py/odd", "cwe-12x"), _taxon("py/other", "5", "OWASP", tags=["cwe_78", "cwe/78"])]}}, "results": [_result("py/sql", "warning", 3), _result("py/x", "note", 9), _result("py/odd", "error", 10), _result("py/other", "error", 11)]}]},
+    {"runs": [{"tool": {"driver": {"name": "Cppcheck", "rules": [{"id": "own", "properties": {"cwe": " 0788 "}}, {"id": "own2", "properties": {"cwe": 22}}, {"id": "twice", "properties": {"cwe": "1"}}, {"id": "twice", "properties": {"cwe": "CWE-2"}}]}}, "results": [
+        _result("nullPointer", "error", 12), _result("custom-CWE-22-rule", None, 14, confidence="90"), _result("custom-CWE-23-rule", None, 15, confidence=90), _result("custom-CWE-24-rule", None, 16, confidence=True), _result("custom-CWE-25-rule", None, 17, confidence=0.1), _result("own", "ERROR", 18), _result("own2", "none", 19),
+        {**_result(None, "error", 20), "rule": {"id": "twice"}}, {**_result("", "error", 21), "rule": {"id": "doubleFree"}}, {**_result("memleak", "error", 22), "message": "a plain text"}, {**_result("memleak", "error", 23), "message": '{"text": 1'}, {**_result("memleak", None, 24, **{"security-severity": 7.5}), "message": 5}, _result("memleak", "note", 25, **{"security-severity": "high"}),
+    ]}]},
+    {"runs": []},
 ]
-
-
-@query()
+_QUOTED = lambda x: "'" + x.replace("'", "''") + "'"
+_TABLE = ", ".join(f"('{tool}', '{rule}', '{c}')" for tool, rules in (("bandit", findings.BANDIT), ("cppcheck", findings.CPPCHECK)) for rule, c in rules.items())
+_CWE_IN = "CASE WHEN regexp_matches({0}, '(?i)cwe-[0-9]+') THEN concat('CWE-', CAST(regexp_extract({0}, '(?i)cwe-([0-9]+)', 1) AS INT)) END"
+
+
+@query(rf"""WITH d(doc, body) AS (VALUES {", ".join(f"({i}, {_QUOTED(json.dumps(x))})" for i, x in enumerate(SARIF_ROWS))}), own(tool, rule_id, own) AS (VALUES {_TABLE}),
+a AS (SELECT doc, unnest(CAST(body->'$.runs' AS JSON[])) AS run FROM d), b AS (SELECT doc, run, unnest(CAST(run->'$.results' AS JSON[])) AS r FROM a),
+c AS (SELECT doc, r, run->>'$.tool.driver.name' AS tool, coalesce(nullif(r->>'$.ruleId', ''), nullif(r->>'$.rule.id', '')) AS rule_id, CAST(run->'$.tool.driver.rules' AS JSON[]) AS rules FROM b),
+e AS (SELECT doc, r, tool, rule_id, list_filter(rules, lambda x: (x->>'$.id') = rule_id)[-1] AS rule FROM c),
+f AS (SELECT *, upper(trim(rule->>'$.relationships[0].target.id')) AS taxon, (rule->>'$.relationships[0].target.toolComponent.name') = 'CWE' AS is_cwe, list_filter(CAST(rule->'$.properties.tags' AS VARCHAR[]), lambda t: regexp_matches(t, '(?i)cwe-[0-9]+'))[1] AS tag, rule->>'$.properties.cwe' AS prop, coalesce(TRY_CAST(rule->>'$.properties.security-severity' AS DOUBLE), TRY_CAST(r->>'$.properties.security-severity' AS DOUBLE)) AS severity, CASE WHEN json_type(r->'$.level') <> 'NULL' THEN r->'$.level' WHEN json_type(r->'$.properties.confidence') <> 'NULL' THEN r->'$.properties.confidence' END AS raw FROM e),
+g AS (SELECT f.*, coalesce(CASE WHEN is_cwe AND regexp_matches(taxon, '^(CWE-)?[0-9]+$') THEN concat('CWE-', CAST(replace(taxon, 'CWE-', '') AS INT)) WHEN is_cwe AND starts_with(taxon, 'CWE-') THEN taxon END, {_CWE_IN.format("tag")}, {_CWE_IN.format("prop")}, 'CWE-' || TRY_CAST(trim(prop) AS INT), own, {_CWE_IN.format("f.rule_id")}) AS cwe,
+ CASE WHEN severity >= 9 THEN 'critical' WHEN severity >= 7 THEN 'high' WHEN severity >= 4 THEN 'medium' WHEN severity IS NOT NULL THEN 'low' ELSE 'medium' END AS tier,
+ CASE WHEN raw IS NULL THEN CASE WHEN severity >= 7 THEN 0.8 WHEN severity >= 4 THEN 0.5 WHEN severity IS NOT NULL THEN 0.3 ELSE 0.5 END WHEN json_type(raw) = 'VARCHAR' THEN CASE lower(raw->>'$') WHEN 'error' THEN 0.8 WHEN 'warning' THEN 0.5 WHEN 'note' THEN 0.3 ELSE 0.5 END WHEN json_type(raw) = 'BOOLEAN' THEN CAST(raw AS BOOLEAN)::INT ELSE CASE WHEN CAST(raw AS DOUBLE) <= 1 THEN CAST(raw AS DOUBLE) ELSE CAST(raw AS DOUBLE) / 100 END END AS conf FROM f LEFT JOIN own ON lower(f.tool) = own.tool AND f.rule_id = own.rule_id),
+h AS (SELECT *, CAST(CASE WHEN severity >= 7 THEN greatest(conf, 0.8) WHEN severity >= 4 THEN greatest(conf, 0.5) ELSE conf END AS DOUBLE) AS confidence FROM g)
+SELECT CAST(doc AS BIGINT) AS doc, tool, rule_id, cwe, severity, tier, confidence, r->>'$.locations[0].physicalLocation.artifactLocation.uri' AS file, CAST(r->'$.locations[0].physicalLocation.region.startLine' AS INT) AS start_line, CAST(r->'$.locations[0].physicalLocation.region.startColumn' AS INT) AS start_column, CAST(r->'$.locations[0].physicalLocation.region.endLine' AS INT) AS end_line, CAST(r->'$.locations[0].physicalLocation.region.endColumn' AS INT) AS end_column,
+ CASE WHEN json_type(r->'$.message') = 'OBJECT' THEN coalesce(r->>'$.message.text', '') ELSE r->>'$.message' END AS message FROM h WHERE cwe IS NOT NULL AND json_array_length(r->'$.locations') > 0 AND confidence >= CASE tier WHEN 'critical' THEN 0.6 WHEN 'high' THEN 0.5 WHEN 'medium' THEN 0.4 ELSE 0.3 END""")
 def sarif_flatten(spark, sf_dir):
     """SRF1-5, JN10, JSN1, JSN4."""
     docs = spark.createDataFrame([(i, json.dumps(x)) for i, x in enumerate(SARIF_ROWS)], "doc long, body string")
@@ -66,8 +88,8 @@ SELECT tier, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (kept) AS BIGIN
 def confidence_floor(spark, sf_dir):
     """MTH4-5, SRF5."""
     k = F.col("l_linenumber") % 4
-    raw = F.when(k == 0, "error").when(k == 1, "85").when(k == 2, "HIGH").otherwise(F.least(F.lit(1.0), F.col("confidence")).cast("string"))
-    f = found(spark, sf_dir).withColumn("tier", cwe.tier("severity")).withColumn("c", cwe.coerce_confidence(raw))
+    raw = F.when(k == 0, '"Error"').when(k == 1, "85").when(k == 2, '"85"').otherwise(F.least(F.lit(1.0), F.col("confidence")).cast("string"))
+    f = found(spark, sf_dir).withColumn("tier", cwe.tier("severity")).withColumn("c", cwe.coerce_confidence(F.parse_json(raw)))
     return f.groupBy("tier").agg(F.count("*").alias("n"), F.count_if(F.col("c") >= F.element_at(cwe.mapping(cwe.FLOORS), F.col("tier"))).alias("kept"), F.round(F.avg("c"), 6).alias("confidence"))
 
 
@@ -83,18 +105,26 @@ def severity_sourcing(spark, sf_dir):
 _EDGES = ", ".join(f"('{c}', '{p}')" for c, p in cwe.PARENTS.items())
 
 
-@query(f"""WITH RECURSIVE e(child, parent) AS (VALUES {_EDGES}), up(descendant, ancestor, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT up.descendant, e.parent, up.depth + 1 FROM up JOIN e ON e.child = up.ancestor WHERE up.depth < 16)
+@query(f"""WITH RECURSIVE e(child, parent) AS (VALUES {_EDGES}), up(descendant, ancestor, depth) AS (SELECT child, parent, 1 FROM e UNION ALL SELECT up.descendant, e.parent, up.depth + 1 FROM up JOIN e ON e.child = up.ancestor WHERE up.depth < (SELECT count(*) FROM e))
 SELECT descendant, ancestor, CAST(min(depth) AS INT) AS depth FROM up GROUP BY 1, 2""")
 def cwe_closure(spark, sf_dir):
     """SRF8, JN15."""
     return cwe.closure(spark, cwe.parents_table(spark))
 
 
-@query()
+#: Weaknesses at the lines of a file, a few at each; some are related over others that stand there.
+_AT = ("CWE-787", "CWE-119", "CWE-125", "CWE-79", "CWE-74", "CWE-89", "CWE-22")
+
+
+@query(rf"""WITH RECURSIVE e(child, parent) AS (VALUES {_EDGES}), up(descendant, ancestor) AS (SELECT child, parent FROM e UNION SELECT up.descendant, e.parent FROM up JOIN e ON e.child = up.ancestor),
+f AS (SELECT id AS finding, 'a.c' AS file, CAST(id % 11 AS INT) AS start_line, [{", ".join(f"'{x}'" for x in _AT)}][CAST(id % 7 AS INT) + 1] AS cwe FROM range(0, 60) t(id)), places AS (SELECT DISTINCT start_line, cwe FROM f),
+l AS (SELECT a.start_line, a.cwe AS x, b.cwe AS y FROM places a JOIN places b ON a.start_line = b.start_line JOIN up ON (up.descendant = a.cwe AND up.ancestor = b.cwe) OR (up.descendant = b.cwe AND up.ancestor = a.cwe)),
+r(start_line, x, y) AS (SELECT start_line, cwe, cwe FROM places UNION SELECT r.start_line, r.x, l.y FROM r JOIN l ON r.start_line = l.start_line AND r.y = l.x),
+s AS (SELECT r.start_line, r.x AS cwe, min(r.y) AS final_cwe FROM r WHERE NOT EXISTS (SELECT 1 FROM r AS o JOIN up ON up.descendant = o.y WHERE o.start_line = r.start_line AND o.x = r.x AND up.ancestor = r.y) GROUP BY 1, 2)
+SELECT f.file, f.start_line, f.cwe, finding, final_cwe FROM f LEFT JOIN s ON f.start_line = s.start_line AND f.cwe = s.cwe""")
 def ancestor_collapse(spark, sf_dir):
     """SRF7: over findings at few places."""
-    names = ["CWE-787", "CWE-119", "CWE-125", "CWE-79", "CWE-74", "CWE-89", "CWE-22"]
-    f = spark.range(60).select((F.col("id") % 11).cast("int").alias("start_line"), F.lit("a.c").alias("file"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 7 + 1).cast("int")).alias("cwe"), F.col("id").alias("finding"))
+    f = spark.range(60).select((F.col("id") % 11).cast("int").alias("start_line"), F.lit("a.c").alias("file"), F.element_at(F.array(*map(F.lit, _AT)), (F.col("id") % 7 + 1).cast("int")).alias("cwe"), F.col("id").alias("finding"))
     return findings.collapse_related(f, cwe.closure(spark, cwe.parents_table(spark)), ["file", "start_line"])
 
 
@@ -176,8 +206,9 @@ def _tokens(c="text"):
 
 
 def bm25_scores(spark, sf_dir):
-    postings, figures = retrieval.index_postings(table(spark, sf_dir, "documents"), "doc_id", _tokens())
-    return retrieval.bm25(table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id"), "query_id", _tokens(), postings, figures)
+    asked = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    postings, figures = retrieval.index_postings(table(spark, sf_dir, "documents"), "doc_id", _tokens(), retrieval.query_terms(asked, "query_id", _tokens()))
+    return retrieval.bm25(asked, "query_id", _tokens(), postings, figures)
 
 
 @query(_BM25 + " SELECT query_id, id, round(score, 5) AS score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 20")
@@ -190,9 +221,8 @@ def bm25_topk(spark, sf_dir):
 s AS (SELECT query_id, id, CAST(sum(tf) AS DOUBLE) AS score FROM u JOIN p ON u.term = p.term GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s) SELECT query_id, id, score, CAST(rank AS INT) AS rank FROM k WHERE rank <= 5""")
 def tf_prefilter_topk(spark, sf_dir):
     """TXT4, TXT6: plain term counts."""
-    p = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.explode(_tokens()).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(_tokens())).alias("term"))
-    return retrieval.top_k(q.join(p, "term").groupBy("query_id", "id").agg(F.sum("tf").cast("double").alias("score")), "query_id", 5)
+    asked = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+    return retrieval.top_k(retrieval.term_counts(table(spark, sf_dir, "documents"), "doc_id", asked, "query_id", _tokens()), "query_id", 5)
 
 
 _UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))"
