@@ -122,26 +122,96 @@ def _least_close(threshold: float):
     return run
 
 
+def leaks_in_cell(asking: DataFrame, other: DataFrame, cell: list[str], id_col: str, text_col: str, threshold: float = 0.85, block: int = BLOCK) -> DataFrame:
+    """Adds leak_of to the asking rows: the least id of a text of the other side, in the same cell, as close as threshold; or null.
+
+    Close is close_texts on the texts as they are. All pairs of a cell's two sides are decided, in blocks; a few of the
+    rows of a cell should ask, as those held out for validation do.
+    """
+    kind = asking.schema[id_col].dataType.simpleString()
+
+    def side(rows):
+        return rows.select(F.to_json(F.struct(*cell)).alias("_c"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).where("_t IS NOT NULL")
+
+    left, right = side(asking), side(other)
+    count = lambda rows, name: rows.groupBy("_c").agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = count(left, "_l").join(count(right, "_r"), "_c")
+
+    def dealt(rows, own, across, asks):
+        mine, to = F.pmod(F.xxhash64("_id"), F.col(own)).cast("int"), F.explode(F.sequence(F.lit(0), F.col(across) - 1))
+        return rows.join(sizes, "_c").select("_c", mine.alias("_own"), to.alias("_to"), F.lit(asks).alias("_asks"), "_id", "_t")
+
+    met = dealt(left, "_l", "_r", True).select("_c", F.col("_own").alias("_a"), F.col("_to").alias("_b"), "_asks", "_id", "_t")
+    met = met.unionAll(dealt(right, "_r", "_l", False).select("_c", F.col("_to").alias("_a"), F.col("_own").alias("_b"), "_asks", "_id", "_t"))
+
+    def run(frame):
+        rows = sorted(zip(frame.loc[~frame["_asks"], "_id"], frame.loc[~frame["_asks"], "_t"], strict=True), key=lambda r: r[0])
+        found = [(i, next((j for j, u in rows if close_texts(t, u, threshold)), None)) for i, t in zip(frame.loc[frame["_asks"], "_id"], frame.loc[frame["_asks"], "_t"], strict=True)]
+        return pd.DataFrame([f for f in found if f[1] is not None], columns=["_id", "_to"])
+
+    near = met.groupBy("_c", "_a", "_b").applyInPandas(run, f"_id {kind}, _to {kind}").groupBy("_id").agg(F.min("_to").alias("leak_of"))
+    return asking.join(near, F.col(id_col) == F.col("_id"), "left").drop("_id")
+
+
+def _blocks(passages: DataFrame, rows: int = 10_000):
+    """(id, text) of the passages, so many at a time on the driver."""
+    block = []
+    for r in passages.toLocalIterator():
+        block.append((r[0], r[1]))
+        if len(block) == rows:
+            yield block
+            block = []
+    if block:
+        yield block
+
+
+def _search(block: list[tuple]):
+    """Over rows (id, text) the pairs (id, passage id) of one automaton of passages."""
+
+    def run(batches):
+        import ahocorasick
+
+        ids: dict[str, list] = {}
+        for i, text in block:
+            ids.setdefault(text, []).append(i)
+        automaton = ahocorasick.Automaton()
+        for text in ids:
+            automaton.add_word(text, text)
+        automaton.make_automaton()
+        for batch in batches:
+            pairs = [(d, p) for d, t in zip(*(c.to_pylist() for c in batch.columns), strict=True) if t for x in {x for _, x in automaton.iter(t)} for p in ids[x]]
+            yield pa.RecordBatch.from_pydict({"_d": [x[0] for x in pairs], "_p": [x[1] for x in pairs]})
+
+    return run
+
+
 def passages_in(texts: DataFrame, id_col: str, text_col: str, passages: DataFrame, passage_id: str, passage_text: str, size: int = 6) -> DataFrame:
-    """(id, passage id) where the text contains the passage whole. Passages are found by their first words, then compared.
+    """(id, passage id) where the text contains the passage whole.
 
-    Passages of fewer words than size are looked for by all their words; one whose words are glued to others is not found.
+    A passage's words but the first and the last stand whole inside any occurrence, whatever is glued to its ends; the
+    first size of them are its key. Keys are hashes; a text's runs of words are tested against the passages' few keys
+    before anything is shuffled. Passages of fewer than three words have no such word; they are searched in all texts, a
+    block of them at a time. An empty passage is in no text.
     """
     words = lambda c: F.filter(F.split(c, r"\s+"), lambda x: x != "")
-    p = passages.select(F.col(passage_id).alias("_p"), F.col(passage_text).alias("_pt"), words(F.col(passage_text)).alias("_w"))
-    p = p.select("_p", "_pt", F.least(F.size("_w") - 1, F.lit(size)).alias("_n"), F.slice("_w", 1, size).alias("_w")).where("_n > 0")
-    p = p.select("_p", "_pt", "_n", F.array_join(F.slice("_w", F.lit(1), F.col("_n")), " ").alias("_key"))
-    sizes = [r["_n"] for r in p.select("_n").distinct().collect()]  # at most size values
-    found = None
+    key = lambda w: F.xxhash64(F.array_join(w, " "))
+    p = passages.select(F.col(passage_id).alias("_p"), F.col(passage_text).alias("_pt"), words(F.col(passage_text)).alias("_w")).where("_pt <> ''")
+    p = p.withColumn("_n", F.least(F.size("_w") - 2, F.lit(size)))
+    long = p.where("_n > 0").select("_p", "_pt", "_n", key(F.slice("_w", F.lit(2), F.col("_n"))).alias("_key"))
+    short = p.where("_n <= 0").select("_p", "_pt")
+    sizes = sorted(r["_n"] for r in long.select("_n").distinct().collect())  # at most size values
+    base = texts.select(F.col(id_col).alias("_d"), F.col(text_col).alias("_t"))
 
     def runs(n):
-        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice("_w", i, F.lit(n)), " ")))
+        return F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: key(F.slice("_w", i, F.lit(n)))))
 
+    kinds = [rows.schema[c].dataType.simpleString() for rows, c in ((texts, id_col), (passages, passage_id))]
+    found = base.where(F.lit(False)).select("_d", F.lit(None).cast(kinds[1]).alias("_p"))
+    for block in _blocks(short):
+        found = found.unionAll(base.mapInArrow(_search(block), f"_d {kinds[0]}, _p {kinds[1]}"))
     for n in sizes:
-        grams = texts.select(F.col(id_col).alias("_d"), words(F.col(text_col)).alias("_w")).where(F.size("_w") >= n)
-        grams = grams.select("_d", F.explode(runs(n)).alias("_key"))
-        hits = grams.join(p.where(F.col("_n") == n), "_key").select("_d", "_p", "_pt")
-        found = hits if found is None else found.unionAll(hits)
-    if found is None:
-        return texts.select(F.col(id_col), F.lit(None).cast("long").alias(passage_id)).limit(0)
-    return found.join(texts, F.col("_d") == F.col(id_col)).where(F.contains(F.col(text_col), F.col("_pt"))).select(F.col("_d").alias(id_col), F.col("_p").alias(passage_id)).distinct()
+        grams = base.select("_d", words(F.col("_t")).alias("_w")).where(F.size("_w") >= n).select("_d", F.explode(runs(n)).alias("_key"))
+        own = long.where(F.col("_n") == n)
+        hits = grams.join(own, "_key").select("_d", "_p", "_pt").join(base, "_d").where(F.contains("_t", "_pt")).select("_d", "_p")
+        found = found.unionAll(hits)
+    return found.select(F.col("_d").alias(id_col), F.col("_p").alias(passage_id)).distinct()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import safe_ratio, wilson
@@ -60,7 +60,14 @@ def legacy_view(rates: DataFrame, names: list[str]) -> DataFrame:
     return rates.where(F.col("metric").isin(*names)).select("metric", "value")
 
 
-def index_percentile(values: str, share: float) -> Column:
-    """The element at place max(0, int(share * n) - 1) of the sorted values: no interpolation."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.element_at(ordered, F.greatest(F.lit(1), F.floor(F.size(ordered) * F.lit(share)).cast("int")))
+def index_percentile(rows: DataFrame, keys: list[str], value: str, share: float, name: str) -> DataFrame:
+    """(keys, name): the element at place max(0, int(share * n) - 1) of the group's sorted values, without interpolation.
+
+    Equal values are counted before the shuffle; a group's distinct values are what is sorted. Nulls are left out.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_n"))
+    own = Window.partitionBy(*keys)
+    upto = F.sum("_n").over(own.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+    place = F.greatest(F.lit(1), F.floor(F.sum("_n").over(own) * F.lit(share)))
+    at = counts.select(*keys, value, "_n", upto.alias("_upto"), place.alias("_place")).where("_upto >= _place AND _upto - _n < _place")
+    return at.select(*keys, F.col(value).alias(name))

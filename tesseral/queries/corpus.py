@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import code, cwe, text
-from ..operators import corpus, dedup, sampling
+from ..operators import corpus, dedup, retrieval, sampling
+from ..plans.reports import build_corpus
 from .base import Registry, table
 
 R = Registry()
@@ -99,18 +100,71 @@ def code_fence_extract(spark, sf_dir):
     return completions(spark, sf_dir).select("conv_id", "turn", F.md5(code_text).alias("code_md5"))
 
 
-@query(r"""SELECT page_id, trim(regexp_replace(list_filter(list_transform(string_split(replace(html, '>', concat('>', chr(10))), chr(10)), lambda x: trim(x)), lambda x: x <> '' AND NOT starts_with(x, '//') AND NOT starts_with(x, '/*') AND NOT starts_with(x, '*') AND NOT starts_with(x, '#') AND contains(x, '('))[1], '\{+$', '')) AS hint FROM pages""")
-def signature_hint(spark, sf_dir):
-    """STR13: over the lines that tags make."""
-    return table(spark, sf_dir, "pages").select("page_id", text.signature_hint(F.replace("html", F.lit(">"), F.lit(">\n"))).alias("hint"))
+def _strip(x):
+    return rf"regexp_replace({x}, '^{text.WHITE}+|{text.WHITE}+\z', '', 'g')"
+
+
+def _lines(x):
+    return f"list_filter(regexp_split_to_array({x}, '{text.LINE_END}'), lambda x: {_strip('x')} <> '')"
+
 
+_TAGGED = "replace(replace(html, '>', concat('>', chr(13), chr(10), chr(9))), ')', concat(')', chr(11)))"
 
-@query(rf"""WITH c AS ({_COMPL}), l AS (SELECT *, list_filter(string_split(completion, chr(10)), lambda x: trim(x) <> '') AS ls FROM c),
-k AS (SELECT *, list_filter(ls, lambda x: NOT starts_with(trim(x), '#') AND NOT starts_with(trim(x), '//')) AS kept FROM l)
-SELECT conv_id, turn, NOT (contains(completion, 'def ') OR contains(completion, 'class ') OR contains(completion, 'import ') OR contains(completion, '#include') OR contains(completion, 'int main')) AND coalesce(starts_with(lower(trim(ls[1])), 'i cannot'), false) AS refused, length(regexp_replace(array_to_string(kept, chr(10)), '[ \t]', '', 'g')) < 20 AS short FROM k""")
+
+@query(rf"""WITH l AS (SELECT page_id, list_filter(list_transform({_lines(_TAGGED)}, lambda x: {_strip("x")}), lambda x: NOT starts_with(x, '//') AND NOT starts_with(x, '/*') AND NOT starts_with(x, '*') AND NOT starts_with(x, '#') AND contains(x, '('))[1] AS s FROM pages)
+SELECT page_id, {_strip("regexp_replace(s, '[{]+$', '')")} AS hint FROM l""")
+def signature_hint(spark, sf_dir):
+    """STR13: over the lines that tags and parentheses make, with tabs and several line ends."""
+    lined = F.replace(F.replace("html", F.lit(">"), F.lit(">\r\n\t")), F.lit(")"), F.lit(")\x0b"))
+    return table(spark, sf_dir, "pages").select("page_id", text.signature_hint(lined).alias("hint"))
+
+
+#: Completions with tabs and all sorts of line ends, and their languages.
+STUB_ROWS = [
+    ("def compute_all(values):\r\n\tpass\r\n", "Python"),
+    ("\t I cannot help with this request at all", "python"),
+    ("int compute_all(int value) {\r\n\treturn 0;\r\n}", "c"),
+    ("class Keeper(Base, Other):\r    raise NotImplementedError\x0c", "python"),
+    ("\t// call(me)\nint total(int x) {\r\treturn x + 1; }", "cpp"),
+    ("Here:\n```python\ndef compute_all(values):\n    # TODO: Implement\n\ttotal = 0\r\n    pass\n```", "python"),
+    ("static void run_all_of_it(void) {\t }\n\t# nothing here", "C++"),
+    ("x = 1\r\n\t# a comment of some length\r\n\t// another one, longer still", "python"),
+    ("total_of_all = sum(values)\n\t\x1cpass", "python"),
+    ("\x85I'm sorry, but no\r\nimport os", "c"),
+    ("return []\n# TODO Implement\n" + "pass  " * 3, "python"),
+]
+_STUBS = ["[" + ", ".join("'" + r[i].replace("'", "''") + "'" for r in STUB_ROWS) + "]" for i in (0, 1)]
+_QUOTED = lambda items: ", ".join("'" + t.replace("'", "''") + "'" for t in items)
+_PICKED = f"SELECT conv_id, turn, CASE WHEN conv_id % 12 < 11 THEN {_STUBS[0]}[conv_id % 12 + 1] ELSE text END AS completion, CASE WHEN conv_id % 12 < 11 THEN {_STUBS[1]}[conv_id % 12 + 1] ELSE 'python' END AS language FROM conversations"
+
+
+def _stub(code):
+    """CTEs over c that end in q, with the lines, a stub's reason and a Python body for each row."""
+    return rf"""l AS (SELECT *, {_lines(code)} AS ls FROM c), k AS (SELECT *, list_filter(ls, lambda x: NOT starts_with({_strip("x")}, '#') AND NOT starts_with({_strip("x")}, '//')) AS kept FROM l),
+b AS (SELECT *, lower({_strip("array_to_string(kept, chr(10))")}) AS body, list_transform(kept, lambda x: {_strip("x")}) AS tr FROM k),
+i AS (SELECT *, CASE WHEN starts_with(coalesce(tr[1], ''), 'def ') OR starts_with(coalesce(tr[1], ''), 'class ') THEN lower({_strip("array_to_string(tr[2:], ' ')")}) ELSE body END AS py, instr(body, '{{') AS o, CASE WHEN contains(body, '}}') THEN length(body) - instr(reverse(body), '}}') + 1 ELSE 0 END AS e FROM b),
+q AS (SELECT *, CASE WHEN length(regexp_replace(array_to_string(kept, chr(10)), '[ \t]', '', 'g')) < 20 THEN 'short' WHEN lower(language) = 'python' AND len(list_filter([{_QUOTED(text.PY_TRIVIAL)}], lambda p: ends_with(py, p) AND length(py) <= length(p) + 4)) > 0 THEN 'py_trivial'
+ WHEN lower(language) IN ('c', 'cpp', 'c++') AND CASE WHEN o > 0 AND e > o THEN {_strip("substr(body, o + 1, e - o - 1)")} ELSE body END IN ({_QUOTED(text.C_TRIVIAL)}) THEN 'c_trivial' END AS reason FROM i)"""
+
+
+def picked(spark, sf_dir):
+    """Every conversation's turns with one of the completions, or with their own text."""
+    at = F.col("conv_id") % 12
+    chosen = [F.element_at(F.array(*[F.lit(r[i]) for r in STUB_ROWS]), F.least(at + 1, F.lit(11)).cast("int")) for i in (0, 1)]
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(at < 11, chosen[0]).otherwise(F.col("text")).alias("completion"), F.when(at < 11, chosen[1]).otherwise("python").alias("language"))
+
+
+@query(rf"""WITH c AS ({_PICKED}), {_stub("completion")} SELECT conv_id, turn, len(list_filter([{_QUOTED(text.CODE_MARKERS)}], lambda m: contains(completion, m))) = 0 AND len(list_filter([{_QUOTED(text.REFUSALS)}], lambda p: starts_with(lower({_strip("coalesce(ls[1], '')")}), p))) > 0 AS refused, coalesce(reason, '') AS reason FROM q""")
 def refusal_stub_flags(spark, sf_dir):
-    """STR14-16."""
-    return completions(spark, sf_dir).select("conv_id", "turn", text.refusal("completion").alias("refused"), (F.coalesce(text.stub_reason("completion", "language"), F.lit("")) == "short").alias("short"))
+    """STR14-15."""
+    return picked(spark, sf_dir).select("conv_id", "turn", text.refusal("completion").alias("refused"), F.coalesce(text.stub_reason("completion", "language"), F.lit("")).alias("reason"))
+
+
+@query(rf"""WITH p AS ({_PICKED}), c AS (SELECT *, coalesce(regexp_extract_all(completion, '(?s)```(?:[a-zA-Z0-9_+-]+)?\n(.*?)```', 1)[1], completion) AS code FROM p), {_stub("code")}
+SELECT conv_id, turn, reason IS NOT NULL OR (lower(language) = 'python' AND regexp_matches(code, '(?i)#\s*TODO[: ]\s*Implement') AND contains(py, 'pass') AND length({_strip("replace(py, 'pass', '')")}) < 30) AS stub FROM q""")
+def stub_completions(spark, sf_dir):
+    """STR16: the evaluation's rule, with all its reasons and the scaffold."""
+    return picked(spark, sf_dir).select("conv_id", "turn", text.is_stub("completion", "language").alias("stub"))
 
 
 @query(r"""WITH c AS (SELECT role, CASE WHEN turn % 3 = 0 THEN concat('Write this. Return only code: ', text) WHEN turn % 3 = 1 THEN concat('Fix it ```python ', text) ELSE text END AS t FROM conversations),
@@ -222,6 +276,57 @@ def leak_audit_levenshtein(spark, sf_dir):
     return best.select("item_id", F.round("best", 6).alias("best"), (F.col("best") >= 0.85).alias("dropped"))
 
 
+def prompts(spark, sf_dir, name="documents"):
+    """Texts as prompts: a language and a weakness by the id's remainders, some of them out of scope."""
+    id_col = {"documents": "doc_id", "benchmark": "item_id"}[name]
+    k = F.col(id_col)
+    lang = F.when(k % 3 == 0, "python").when(k % 3 == 1, "c").otherwise("cpp")
+    weak = F.element_at(F.array(*[F.lit(x) for x in ("CWE-79", "CWE-787", "CWE-22", "CWE-999", "CWE-89")]), (k % 5 + 1).cast("int"))
+    return table(spark, sf_dir, name).where("text IS NOT NULL").select(F.format_string("%012d", k).alias("id"), F.lit(name).alias("source"), lang.alias("language"), weak.alias("target_cwe"), F.col("text").alias("prompt_text"), F.lit(None).cast("string").alias("task_signature"))
+
+
+def built(spark, sf_dir, **more):
+    d = prompts(spark, sf_dir)
+    return build_corpus([d], [prompts(spark, sf_dir, "benchmark").unionByName(d.where("id % 50 = 7"))], 400, "v1", **more)
+
+
+_PROMPTS = "SELECT {id} AS id, CASE {id} % 3 WHEN 0 THEN 'python' WHEN 1 THEN 'c' ELSE 'cpp' END AS language, ['CWE-79', 'CWE-787', 'CWE-22', 'CWE-999', 'CWE-89'][{id} % 5 + 1] AS target_cwe, text FROM {name} WHERE text IS NOT NULL"
+_SCOPE = "(" + ", ".join(f"('{w}', '{x}')" for w in ("CWE-79", "CWE-787", "CWE-22", "CWE-89") for x in (("python", "c", "cpp") if w in cwe.TRILINGUAL else ("c", "cpp") if w in cwe.C_FAMILY else ("python",) if w in cwe.PYTHON_ONLY else ())) + ")"
+
+
+@query(f"""WITH d AS (SELECT *, sha256({_NORM.format('text')}) AS h FROM ({_PROMPTS.format(id='doc_id', name='documents')})), e AS (SELECT id, sha256({_NORM.format('text')}) AS h FROM ({_PROMPTS.format(id='item_id', name='benchmark')}) UNION ALL SELECT id, h FROM d WHERE id % 50 = 7),
+s AS (SELECT * FROM d WHERE (target_cwe, language) IN {_SCOPE} AND trim(text) <> ''), x AS (SELECT *, row_number() OVER (PARTITION BY target_cwe, language, h ORDER BY id) AS first FROM s),
+c AS (SELECT *, row_number() OVER (PARTITION BY target_cwe, language ORDER BY sha256(concat('v1|', printf('%012d', id))), id) AS drawn FROM x WHERE first = 1),
+j AS (SELECT * FROM c WHERE drawn <= 400 AND h NOT IN (SELECT h FROM e)), v AS (SELECT *, row_number() OVER (PARTITION BY target_cwe, language ORDER BY id) <= floor(count(*) OVER (PARTITION BY target_cwe, language) * 0.05 + 0.5) AS val FROM j)
+SELECT CAST(place AS INT) AS place, step, CAST(n AS BIGINT) AS n FROM (SELECT 0 AS place, 'eval' AS step, count(*) AS n FROM e UNION ALL SELECT 1, 'scope', count(*) FROM s UNION ALL SELECT 2, 'exact', count(*) FROM c UNION ALL SELECT 3, 'cap', count(*) FILTER (drawn <= 400) FROM c UNION ALL SELECT 4, 'disjoint', count(*) FROM j UNION ALL SELECT 5, 'train', count(*) FILTER (NOT val) FROM v UNION ALL SELECT 6, 'val', count(*) FILTER (val) FROM v)""")
+def corpus_build_steps(spark, sf_dir):
+    """The corpus build's manifest; its steps on closeness, which SQL lacks, are in corpus_build."""
+    return built(spark, sf_dir, near=None, leak=None)["manifest"]
+
+
+@query()
+def corpus_build(spark, sf_dir):
+    """The whole build: SET4-5, SMP1, SMP3, JN3, JN5, PRJ5; the split's rows."""
+    parts = built(spark, sf_dir)
+    return parts["train"].select("id", "target_cwe", "language", F.lit("train").alias("split")).unionAll(parts["val"].select("id", "target_cwe", "language", F.lit("val").alias("split")))
+
+
+@query()
+def validation_leaks(spark, sf_dir):
+    """JN5: one id in twenty asks; the least close text of its cell on the other side."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    return dedup.leaks_in_cell(d.where("doc_id % 20 = 0"), d.where("doc_id % 20 <> 0"), ["source", "lang"], "doc_id", "text").select("doc_id", "leak_of")
+
+
+@query()
+def closest_training_text(spark, sf_dir):
+    """JN18: five candidates by BM25, then the best ratio and the best tree overlap."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    found = retrieval.closest_texts(q, "query_id", d, "id", "text", text.retrieval_tokens("text"), text.string_normalize("text"))
+    return found.select("query_id", F.round("best", 6).alias("best"), "nearest", F.round("best_ast", 6).alias("best_ast"))
+
+
 def _rank(seed: str, cell: str = "source, lang") -> str:
     return f"row_number() OVER (PARTITION BY {cell} ORDER BY sha256(concat('{seed}|', doc_id)), doc_id)"
 

@@ -94,7 +94,9 @@ def record_diagnostics(spark, sf_dir):
 SELECT source, CAST(max(n) AS BIGINT) AS n, round(avg(n_chars), 4) AS mean, round(quantile_cont(n_chars, 0.5), 4) AS median, CAST(max(CASE WHEN rn = greatest(1, CAST(floor(0.95 * n) AS BIGINT)) THEN n_chars END) AS BIGINT) AS p95 FROM s GROUP BY source""")
 def length_distribution(spark, sf_dir):
     """AGG5: p95 is an element, not an interpolation."""
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.percentile("n_chars", 0.5), 4).alias("median"), metrics.index_percentile("n_chars", 0.95).alias("p95"))
+    d = table(spark, sf_dir, "documents").select("source", "n_chars")
+    per = d.groupBy("source").agg(F.count("*").alias("n"), F.round(F.avg("n_chars"), 4).alias("mean"), F.round(F.percentile("n_chars", 0.5), 4).alias("median"))
+    return per.join(metrics.index_percentile(d, ["source"], "n_chars", 0.95, "p95"), "source")
 
 
 @query("""WITH s AS (SELECT d.lang, d.source, avg(l.quality) AS value FROM documents d JOIN labels l USING (doc_id) GROUP BY 1, 2)

@@ -100,10 +100,14 @@ def fixes_pairs(raw: DataFrame) -> DataFrame:
     return pairs.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
+# Fixed value: what counts as the head of a C function.
+SIGNATURE = r"^([\w\*&\s:<>,]+?[\w\*&]\s+\**\w+\s*\([^)]*\))"
+
+
 def vulnerable_prompts(raw: DataFrame, lo: int = 64, hi: int = 8192) -> DataFrame:
     """One prompt for each weakness of a vulnerable function of fair length."""
     rows = raw.where((F.col("target") == 1) & F.length("func").between(lo, hi)).select("*", F.explode("cwe").alias("_w"))
-    weak, head = cwe.normalize_cwe("_w"), F.regexp_extract(F.ltrim(F.substring("func", 1, 1024)), r"^([\w\*&\s:<>,]+?[\w\*&]\s+\**\w+\s*\([^)]*\))", 1)
+    weak, head = cwe.normalize_cwe("_w"), F.regexp_extract(F.ltrim(F.substring("func", 1, 1024)), SIGNATURE, 1)
     body = F.concat(F.lit("Rewrite this function without the weakness "), weak, F.lit(" ("), cwe.short_description(weak), F.lit("):\n"), F.col("func"))
     return rows.where(weak.isNotNull()).select(*_prompt("diversevul", ["commit_id", "func", "_w"], text.cpp_or_c("func"), weak, body, F.when(head != "", F.trim(head))))
 
@@ -125,11 +129,24 @@ def snippet_prompts(raw: DataFrame) -> DataFrame:
     return raw.where(F.col("ID").rlike("(?i)cwe-0*[0-9]+") & (F.trim(F.coalesce("Prompt", F.lit(""))) != "")).select(*_prompt("securityeval", ["ID"], F.lit("python"), weak, F.col("Prompt")))
 
 
+# The wording of the benchmark's prompts; %1$s is the weakness, %2$s the lines.
+CASTLE_DESCRIPTION = "C program demonstrating %1$s."
+CASTLE_VULNERABLE = "Below is a C program that contains a %1$s vulnerability (vulnerable line(s): %2$s). Rewrite it so that the vulnerability is fixed, preserving the original functionality. Return ONLY the corrected C program; no commentary, no markdown fences."
+CASTLE_SAFE = "Below is a C program that is intended to be free of %1$s. Review it and produce an equivalent program. Return ONLY the C program; no commentary, no markdown fences."
+
+
 def castle_prompts(raw: DataFrame, keep_safe: bool = True) -> DataFrame:
-    rows = raw.where(F.trim(F.coalesce("code", F.lit(""))) != "").where(F.lit(keep_safe) | F.col("vulnerable"))
+    """A description, the task with the vulnerable lines, and the program in a fence. A program is vulnerable unless it says not."""
+    vulnerable, code = F.coalesce("vulnerable", F.lit(True)), text.strip(F.coalesce("code", F.lit("")))
+    rows = raw.where(code != "").where(F.lit(keep_safe) | vulnerable)
     weak = F.concat(F.lit("CWE-"), F.col("cwe").cast("string"))
-    body = F.when(F.col("vulnerable"), F.concat(F.lit("Fix the weakness "), weak, F.lit(" in this program:\n"), F.col("code"))).otherwise(F.concat(F.lit("Rewrite this program and keep it safe:\n"), F.col("code")))
-    return rows.where("cwe IS NOT NULL").select(*_prompt("castle", ["id"], F.lit("c"), weak, body, metadata=F.create_map(F.lit("vulnerable"), F.col("vulnerable").cast("string"))))
+    lines = F.concat(F.lit("["), F.coalesce(F.array_join(F.col("lines").cast("array<string>"), ", "), F.lit("")), F.lit("]"))
+    said = text.strip(F.coalesce("description", F.lit("")))
+    about = F.when(said != "", said).otherwise(F.format_string(CASTLE_DESCRIPTION, weak))
+    task = F.when(vulnerable, F.format_string(CASTLE_VULNERABLE, weak, lines)).otherwise(F.format_string(CASTLE_SAFE, weak))
+    body = F.concat(about, F.lit("\n\n"), task, F.lit("\n\n```c\n"), code, F.lit("\n```"))
+    ids = [F.coalesce(c, F.lit("")) for c in ("name", "id", "hash")]
+    return rows.where("cwe IS NOT NULL").select(*_prompt("castle", ids, F.lit("c"), weak, body, metadata=F.create_map(F.lit("vulnerable"), vulnerable.cast("string"))))
 
 
 def autocomplete_prompts(raw: DataFrame) -> DataFrame:

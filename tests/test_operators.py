@@ -40,11 +40,15 @@ def test_merge_boosts(spark):
 def test_sarif(spark):
     from tesseral.queries.findings import sarif_flatten
 
-    got = {(r.tool, r.rule_id): r for r in sarif_flatten(spark, "").collect()}
-    assert set(got) == {("Bandit", "B602"), ("CodeQL", "py/sql"), ("Cppcheck", "nullPointer"), ("Cppcheck", "custom-CWE-22-rule"), ("Bandit", "B101")}
-    assert got["Bandit", "B602"].cwe == "CWE-78" and got["Bandit", "B602"].confidence == 0.8
-    assert got["CodeQL", "py/sql"].cwe == "CWE-89" and got["CodeQL", "py/sql"].tier == "critical"
-    assert got["Cppcheck", "custom-CWE-22-rule"].confidence == 0.9
+    rows = sarif_flatten(spark, "").collect()
+    got = {r.start_line + 100 * r.doc: (r.rule_id, r.cwe, r.confidence) for r in rows}
+    assert got == {
+        3: ("B602", "CWE-78", 0.8), 5: ("B101", "CWE-703", 0.5), 103: ("py/sql", "CWE-89", 0.8), 110: ("py/odd", "CWE-12X", 0.8), 212: ("nullPointer", "CWE-476", 0.8), 214: ("custom-CWE-22-rule", "CWE-22", 0.5),
+        215: ("custom-CWE-23-rule", "CWE-23", 0.9), 216: ("custom-CWE-24-rule", "CWE-24", 1.0), 218: ("own", "CWE-788", 0.8), 219: ("own2", "CWE-22", 0.5), 220: ("twice", "CWE-2", 0.8), 221: ("doubleFree", "CWE-415", 0.8),
+        222: ("memleak", "CWE-401", 0.8), 223: ("memleak", "CWE-401", 0.8), 224: ("memleak", "CWE-401", 0.8),
+    }
+    assert {r.start_line: r.message for r in rows if r.doc == 2 and r.start_line > 21} == {22: "a plain text", 23: '{"text": 1', 24: "5"}
+    assert all((r.start_column, r.end_line, r.end_column) == (5, r.start_line + 1, 9) for r in rows)
 
 
 def test_collapse(spark):
@@ -53,6 +57,16 @@ def test_collapse(spark):
     assert got == {(1, "CWE-787"): "CWE-787", (1, "CWE-119"): "CWE-787", (2, "CWE-79"): "CWE-79", (2, "CWE-22"): "CWE-22", (3, "CWE-119"): "CWE-119"}
 
 
+def test_collapse_over_a_long_chain(spark):
+    """A hierarchy deeper than any fixed number of rounds, and a cycle."""
+    edges = spark.createDataFrame([(f"N{i:02}", f"N{i + 1:02}") for i in range(40)] + [("X", "Y"), ("Y", "X")], "child string, parent string")
+    up = cwe.closure(spark, edges)
+    assert up.where("descendant = 'N00'").count() == 40 and up.where("descendant IN ('X', 'Y')").count() == 2
+    near = edges.where("child LIKE 'N%'").selectExpr("child AS descendant", "parent AS ancestor", "1 AS depth")
+    df = spark.createDataFrame([("a", 1, f"N{i:02}") for i in range(41)], "file string, line int, cwe string")
+    assert {r.final_cwe for r in findings.collapse_related(df, near, ["file", "line"]).collect()} == {"N00"}
+
+
 def test_severity_sources(spark):
     df = spark.createDataFrame([("CWE-79", 6.0, "medium"), ("CWE-79", None, "medium"), ("CWE-1", None, "high")], "cwe string, severity double, tier string")
     got = sorted((r.severity_source, r.sourced) for r in findings.source_severity(df, cwe.medians_table(spark)).collect())
@@ -157,7 +171,7 @@ def test_rates_of_nothing(spark):
     got = metrics.conditional_rates(empty, {"m": (F.col("ok"), F.lit(True))}).collect()
     assert [(r.metric, r.value, r.n_den) for r in got] == [("m", 0.0, 0)]
     v = spark.createDataFrame([(x,) for x in range(1, 21)], "x int")
-    assert v.agg(metrics.index_percentile("x", 0.95)).first()[0] == 19
+    assert metrics.index_percentile(v, [], "x", 0.95, "p").first().p == 19
 
 
 def test_near_in_cell_compares_all_of_a_bucket(spark):
@@ -193,3 +207,80 @@ def test_disjointness_reads_whole_texts(spark, tmp_path):
     spark.createDataFrame([("nothing of it",)], "text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.source: (r.string_only, r.shape_only, r.both, r.kept) for r in QUERIES["disjointness_whole"](spark, str(tmp_path)).collect()}
     assert got == {"a": (0, 1, 0, 1), "b": (0, 1, 0, 2)}
+
+
+def test_leaks_in_cell_like_brute_force(spark):
+    import random
+
+    from tesseral.functions.code import similarity
+
+    r = random.Random(2)
+    base = ["".join(r.choice("abcd ") for _ in range(60)) for _ in range(12)]
+    edit = lambda t, n: "".join(r.choice("wxyz") if i in at else c for at in [set(r.sample(range(60), n))] for i, c in enumerate(t))
+    rows = [(i, "u" if i % 3 else None, edit(base[i % 11], r.randrange(0, 16))) for i in range(90)] + [(200, "u", None), (201, "v", base[0])]
+    df = spark.createDataFrame(rows, "id long, cell string, t string")
+    got = {x.id: x.leak_of for x in dedup.leaks_in_cell(df.where("id % 4 = 0"), df.where("id % 4 <> 0"), ["cell"], "id", "t", block=5).collect()}
+    want = {i: min((j for j, d, u in rows if j % 4 and d == c and t is not None and u is not None and similarity(t, u) >= 0.85), default=None) for i, c, t in rows if i % 4 == 0}
+    assert got == want and sum(v is not None for v in want.values()) > 3
+    assert dedup.leaks_in_cell(df.limit(0), df, ["cell"], "id", "t").count() == 0
+
+
+def test_similarity_is_the_common_subsequence():
+    import difflib
+
+    from tesseral.functions.code import similarity
+
+    assert similarity("", None) == 1 and similarity("abc", "") == 0 and similarity("abcd", "abxd") == 0.75
+    assert similarity("ab" * 5000, "ab" * 5000 + "c") > 0.9999
+    for a, b in (("kitten sitting", "sitting kitten"), ("abcbdab", "bdcaba")):
+        assert similarity(a, b) >= difflib.SequenceMatcher(None, a, b).ratio()
+
+
+def test_passages_of_any_length(spark):
+    texts = [(1, "hello world secret here"), (2, "(one two three four)."), (3, "xsecretx"), (4, ""), (5, None), (6, "alpha  beta gamma"), (7, "pre-alpha beta\tgamma!")]
+    asked = [(1, "secret"), (2, "two three"), (3, "one two three four"), (4, ""), (5, "alpha beta"), (6, "hello world secret here"), (7, "ecret"), (8, None), (9, "alpha beta\tgamma")]
+    t, p = spark.createDataFrame(texts, "d long, dt string"), spark.createDataFrame(asked, "p long, pt string")
+    got = {(x.d, x.p) for x in dedup.passages_in(t, "d", "dt", p, "p", "pt").collect()}
+    assert got == {(d, q) for d, a in texts for q, b in asked if a and b and b in a}
+
+
+def test_ranks_over_spans_like_one_window(spark, monkeypatch):
+    import random
+
+    from pyspark.sql import Window
+
+    monkeypatch.setattr(sampling, "SPAN_ROWS", 20)
+    r = random.Random(1)
+    df = spark.createDataFrame([(i, r.choice(["a", "b", None]), r.choice([r.random(), 0.5, 1.0])) for i in range(400)], "id long, c string, p double")
+    w = Window.partitionBy("c").orderBy("p", "id")
+    want = {x.id: (x.k, x.n) for x in df.select("id", F.row_number().over(w).alias("k"), F.count("*").over(Window.partitionBy("c")).alias("n")).collect()}
+    assert {x.id: (x._rank, x._n) for x in sampling.ranked(df, ["c"], ["p", "id"]).collect()} == want
+    assert sampling.ranked(df, [], ["p", "id"]).select("_span").distinct().count() > 3
+    q = {x.id: (x.rank, x.q) for x in stats.benjamini_hochberg(df.select("id", "p"), "p", ["id"]).collect()}
+    rows = sorted(df.select("p", "id").collect())
+    least, expected = 1.0, {}
+    for k in range(len(rows), 0, -1):
+        least = min(least, rows[k - 1].p * len(rows) / k)
+        expected[rows[k - 1].id] = (k, least)
+    assert {i: (k, round(v, 12)) for i, (k, v) in q.items()} == {i: (k, round(v, 12)) for i, (k, v) in expected.items()}
+    assert sorted(x.place for x in sampling.numbered(df, "id").collect()) == list(range(400))
+    assert sampling.ranked(df.limit(0), ["c"], ["id"]).count() == 0
+
+
+def test_bm25_of_the_asked_terms_only(spark):
+    docs = spark.createDataFrame([(1, "a b c a"), (2, "b c d"), (3, "x y"), (4, "")], "id long, t string")
+    asked = spark.createDataFrame([(1, "a d z"), (2, "c c")], "q long, t string")
+    tokens = F.filter(F.split("t", " "), lambda x: x != "")
+    whole, figures = retrieval.index_postings(docs, "id", tokens)
+    few, same = retrieval.index_postings(docs, "id", tokens, retrieval.query_terms(asked, "q", tokens))
+    assert figures.first() == same.first() and {x.term for x in few.collect()} == {"a", "c", "d"}
+    assert sorted(retrieval.bm25(asked, "q", tokens, whole, figures).collect()) == sorted(retrieval.bm25(asked, "q", tokens, few, same).collect())
+
+
+def test_closest_texts(spark):
+    from tesseral.functions import text
+
+    docs = spark.createDataFrame([(1, "def f(a): return a + 1"), (2, "def g(b):  return b + 1 # x"), (3, "quite other words")], "id long, text string")
+    asked = spark.createDataFrame([(7, "def f(a): return a + 1"), (8, "nothing alike"), (9, "other words here")], "query_id long, text string")
+    got = {x.query_id: x for x in retrieval.closest_texts(asked, "query_id", docs, "id", "text", text.retrieval_tokens("text"), text.string_normalize("text"), 5).collect()}
+    assert set(got) == {7, 9} and got[7].best == 1 and got[7].nearest == 1 and got[7].best_ast == 1 and got[9].nearest == 3 and got[9].best_ast is None

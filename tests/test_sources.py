@@ -33,7 +33,10 @@ def test_json_arrays(spark, tmp_path):
     item = {"id": "c1", "cwe": 787, "vulnerable": True, "code": "int x;", "lines": [1]}
     write(tmp_path / "castle.json", json.dumps({"tests": [item, item | {"id": "c2", "vulnerable": False}, item | {"id": "c3", "code": " "}]}))
     raw = readers.json_array(spark, str(tmp_path / "castle.json"), readers.CASTLE, "tests")
-    assert readers.castle_prompts(raw).count() == 2 and readers.castle_prompts(raw, keep_safe=False).count() == 1
+    made = {r.metadata["vulnerable"]: r.prompt_text for r in readers.castle_prompts(raw).collect()}
+    assert len(made) == 2 and readers.castle_prompts(raw, keep_safe=False).count() == 1
+    assert all(t.endswith(f"no commentary, no markdown fences.\n\n```c\n{item['code'].strip()}\n```") for t in made.values())
+    assert "(vulnerable line(s): [" in made["true"] and "free of CWE-" in made["false"]
     row = {"prompt_id": 1, "cwe_identifier": "CWE-787", "language": "c", "test_case_prompt": "do", "origin_code": "x"}
     write(tmp_path / "auto/a.json", json.dumps([row, row | {"prompt_id": 2}]))
     write(tmp_path / "auto/b.json", json.dumps([row | {"test_case_prompt": "later"}, row | {"origin_code": "y", "language": "go"}]))
