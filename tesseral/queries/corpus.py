@@ -229,12 +229,15 @@ def near_dup_cell(spark, sf_dir):
     return dedup.near_in_cell(d, ["source", "lang"], "doc_id", "text").select("doc_id", "near_of", F.col("near_of").isNull().alias("kept"))
 
 
-@query(f"""WITH e AS (SELECT DISTINCT sha256({_DOCNORM}) AS h FROM benchmark UNION SELECT DISTINCT sha256({_DOCNORM}) FROM conversations), p AS (SELECT DISTINCT md5(substr(lower(text), 1, 40)) AS h FROM benchmark),
-t AS (SELECT source, sha256({_DOCNORM}) IN (SELECT h FROM e) AS s, md5(substr(lower(text), 1, 40)) IN (SELECT h FROM p) AS a FROM documents)
+_SHAPE = "regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')"
+
+
+@query(f"""WITH e AS (SELECT DISTINCT sha256({_DOCNORM}) AS h FROM benchmark UNION SELECT DISTINCT sha256({_DOCNORM}) FROM conversations), p AS (SELECT DISTINCT md5({_SHAPE}) AS h FROM benchmark),
+t AS (SELECT source, sha256({_DOCNORM}) IN (SELECT h FROM e) AS s, md5({_SHAPE}) IN (SELECT h FROM p) AS a FROM documents)
 SELECT source, CAST(count(*) FILTER (s AND NOT a) AS BIGINT) AS string_only, CAST(count(*) FILTER (a AND NOT s) AS BIGINT) AS shape_only, CAST(count(*) FILTER (a AND s) AS BIGINT) AS both, CAST(count(*) FILTER (NOT a AND NOT s) AS BIGINT) AS kept FROM t GROUP BY source""")
 def disjointness_audit(spark, sf_dir):
-    """JN3, AGG17: two keys, two flags; the second key is the opening, as in the SQL. disjointness_whole reads whole texts."""
-    norm, shape = F.sha2(text.string_normalize("text"), 256), F.md5(F.substring(F.lower("text"), 1, 40))
+    """JN3, AGG17: two keys, two flags; the second key is the whole text's letters and digits. disjointness_whole parses texts for it."""
+    norm, shape = F.sha2(text.string_normalize("text"), 256), F.md5(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "))
     b, c = table(spark, sf_dir, "benchmark"), table(spark, sf_dir, "conversations")
     evaluation = {"string": b.select(norm.alias("key")).unionAll(c.select(norm.alias("key"))), "shape": b.select(shape.alias("key"))}
     t = dedup.flag_overlap(table(spark, sf_dir, "documents").select("source", norm.alias("x"), shape.alias("y")), {"string": F.col("x"), "shape": F.col("y")}, evaluation)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 
-import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -195,8 +194,9 @@ def copy_guard_reward(spark, sf_dir):
 
 
 _TOKS = "regexp_extract_all(lower(text), '[a-z_][a-z0-9_]*|[0-9]+')"
+_ASKED, _DOC_ASKED = "SELECT item_id AS query_id, text FROM benchmark", "SELECT doc_id AS query_id, text FROM documents JOIN embeddings ON vec_id = doc_id WHERE doc_id % 100 = 0"
 _BM25 = f"""WITH d AS (SELECT doc_id AS id, {_TOKS} AS t FROM documents), g AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(t)) AS avgdl FROM d), p AS (SELECT id, len(t) AS dl, unnest(t) AS term FROM d), tf AS (SELECT id, term, count(*) AS tf, min(dl) AS dl FROM p GROUP BY 1, 2),
-df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT item_id AS query_id, unnest({_TOKS}) AS term FROM benchmark),
+df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1), q AS (SELECT DISTINCT query_id, unnest({_TOKS}) AS term FROM ({_ASKED})),
 s AS (SELECT q.query_id, tf.id, sum(ln(1 + (g.n - df.df + 0.5) / (df.df + 0.5)) * tf.tf / (tf.tf + 1.5 * (1 - 0.75 + 0.75 * tf.dl / g.avgdl))) AS score FROM q JOIN df ON q.term = df.term JOIN tf ON tf.term = q.term, g GROUP BY 1, 2),
 k AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, id) AS rank FROM s)"""
 
@@ -205,8 +205,8 @@ def _tokens(c="text"):
     return F.regexp_extract_all(F.lower(F.col(c)), F.lit("[a-z_][a-z0-9_]*|[0-9]+"), F.lit(0))
 
 
-def bm25_scores(spark, sf_dir):
-    asked = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id")
+def bm25_scores(spark, sf_dir, asked=None):
+    asked = table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "query_id") if asked is None else asked
     postings, figures = retrieval.index_postings(table(spark, sf_dir, "documents"), "doc_id", _tokens(), retrieval.query_terms(asked, "query_id", _tokens()))
     return retrieval.bm25(asked, "query_id", _tokens(), postings, figures)
 
@@ -226,15 +226,14 @@ def tf_prefilter_topk(spark, sf_dir):
 
 
 _UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))))"
-_DENSE = f"""u AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), dq AS (SELECT label AS query_id, min(vec_id) AS q FROM u GROUP BY 1), ds AS (SELECT dq.query_id, b.vec_id AS id, round(list_dot_product(a.v, b.v), 6) AS score FROM dq JOIN u a ON a.vec_id = dq.q CROSS JOIN u b),
+_DENSE = f"""u AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), ds AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_dot_product(a.v, b.v), 6) AS score FROM u a CROSS JOIN u b WHERE a.vec_id % 100 = 0),
 dk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM ds)"""
 
 
 def dense(spark, sf_dir, k=20):
-    """Each label's first vector, against all vectors."""
+    """Every vector whose id is divisible by 100, against all vectors."""
     e = table(spark, sf_dir, "embeddings")
-    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("v")).orderBy("label").collect()  # one row a label
-    return retrieval.dense_top_k(e, "vec_id", "embedding", [r["label"] for r in first], np.array([r["v"] for r in first], np.float64), k)
+    return retrieval.dense_search(e, "vec_id", "embedding", e.where("vec_id % 100 = 0"), "vec_id", "embedding", k)
 
 
 @query(f"WITH {_DENSE} SELECT CAST(query_id AS BIGINT) AS query_id, id, score, CAST(rank AS INT) AS rank FROM dk WHERE rank <= 20")
@@ -243,12 +242,13 @@ def dense_topk(spark, sf_dir):
     return dense(spark, sf_dir).select("query_id", "id", "score", "rank")
 
 
-@query(_BM25 + f""", {_DENSE}, a AS (SELECT query_id, id, rank FROM k WHERE rank <= 20), b AS (SELECT query_id, id, rank FROM dk WHERE rank <= 20), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS ra, b.rank AS rb, coalesce(1.0 / (60 + a.rank), 0.0) + coalesce(1.0 / (60 + b.rank), 0.0) AS rrf FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
+@query(_BM25.replace(_ASKED, _DOC_ASKED) + f""", {_DENSE}, a AS (SELECT query_id, id, rank FROM k WHERE rank <= 20), b AS (SELECT query_id, id, rank FROM dk WHERE rank <= 20), f AS (SELECT coalesce(a.query_id, b.query_id) AS query_id, coalesce(a.id, b.id) AS id, a.rank AS ra, b.rank AS rb, coalesce(1.0 / (60 + a.rank), 0.0) + coalesce(1.0 / (60 + b.rank), 0.0) AS rrf FROM a FULL JOIN b ON a.query_id = b.query_id AND a.id = b.id),
 m AS (SELECT *, CASE WHEN id % 7 = query_id % 7 THEN 0 WHEN id % 7 = (query_id + 1) % 7 THEN 1 END AS level FROM f), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY level, rrf DESC, ra NULLS LAST, rb NULLS LAST, id) AS rn FROM m WHERE level IS NOT NULL)
 SELECT CAST(query_id AS BIGINT) AS query_id, id, CAST(level AS INT) AS level, round(rrf, 8) AS rrf FROM w WHERE rn = 1""")
 def rrf_hybrid(spark, sf_dir):
-    """JN13-14, TXT6-7, SMP17: fused lists, own kind first, else the parent kind."""
-    both = retrieval.fuse(retrieval.top_k(bm25_scores(spark, sf_dir), "query_id", 20), dense(spark, sf_dir))
+    """JN13-14, TXT6-7, SMP17: documents that have a vector ask by text and by vector; fused lists, own kind first, else the parent kind."""
+    asked = table(spark, sf_dir, "documents").where("doc_id % 100 = 0").join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("query_id"), "text")
+    both = retrieval.fuse(retrieval.top_k(bm25_scores(spark, sf_dir, asked), "query_id", 20), dense(spark, sf_dir))
     q = F.col("query_id")
     best = retrieval.match_or_parent(both, "query_id", q % 7, F.col("id") % 7, (q + 1) % 7)
     return best.select("query_id", "id", "level", F.round("rrf", 8).alias("rrf"))
@@ -257,33 +257,7 @@ def rrf_hybrid(spark, sf_dir):
 @query(f"WITH u AS (SELECT vec_id, label, {_UNIT} AS v FROM embeddings), s AS (SELECT a.vec_id, b.vec_id AS other, round(list_dot_product(a.v, b.v), 6) AS sim FROM u a JOIN u b ON a.label = b.label AND a.vec_id <> b.vec_id), k AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, other) AS rn FROM s) SELECT vec_id, other AS nearest, sim FROM k WHERE rn = 1")
 def nearest_same_label(spark, sf_dir):
     """JN16: the nearest other vector of the label, one matrix product a pair of blocks."""
-    return nearest_in_group(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select("vec_id", "nearest", "sim")
-
-
-def nearest_in_group(rows, group: str, id_col: str, vector: str, block: int = 1024):
-    """Each row's nearest other row of its group. Groups are cut in blocks, and every pair of blocks is a task of its own."""
-    sized = rows.groupBy(group).agg(F.count("*").alias("_n")).withColumn("_blocks", F.ceil(F.col("_n") / block).cast("int"))
-    r = rows.select(F.col(group).alias("g"), F.col(id_col).alias("id"), F.col(vector).alias("v")).join(sized.withColumnRenamed(group, "g"), "g")
-    r = r.withColumn("own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
-    left = r.select("g", F.col("own").alias("a"), F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("b"), F.lit(True).alias("asks"), "id", "v")
-    right = r.select("g", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)).alias("a"), F.col("own").alias("b"), F.lit(False).alias("asks"), "id", "v")
-
-    def run(key, frame):
-        import pandas as pd
-
-        x = np.stack(frame["v"].to_numpy()).astype(np.float64)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        asks, ids = frame["asks"].to_numpy(), frame["id"].to_numpy()
-        other = np.flatnonzero(~asks)[np.argsort(ids[~asks])]
-        scores = np.round(x[asks] @ x[other].T, 6)
-        scores[ids[asks][:, None] == ids[other][None, :]] = -2
-        best = scores.argmax(axis=1) if len(other) else np.zeros(0, int)
-        out = pd.DataFrame({id_col: ids[asks], "nearest": ids[other][best], "sim": scores[np.arange(len(best)), best]}) if len(other) else pd.DataFrame({id_col: [], "nearest": [], "sim": []})
-        return out[out["sim"] > -2]
-
-    found_rows = left.unionAll(right).groupBy("g", "a", "b").applyInPandas(run, f"`{id_col}` long, nearest long, sim double")
-    best = found_rows.groupBy(id_col).agg(F.max_by("nearest", F.struct("sim", -F.col("nearest"))).alias("nearest"), F.max("sim").alias("sim"))
-    return best
+    return retrieval.nearest_in_group(table(spark, sf_dir, "embeddings"), "label", "vec_id", "embedding").select("vec_id", "nearest", "sim")
 
 
 _E = "CAST(embedding AS DOUBLE[])"
