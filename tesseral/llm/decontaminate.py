@@ -139,7 +139,7 @@ class Block:
 def blocks(items: DataFrame, id_col: str, text_col: str, words_per_edit: int, block_bytes: int = BLOCK_BYTES):
     """The items in blocks; the driver holds one item's text and one block at a time."""
     rows, size = [], 0
-    for item, text in items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).toLocalIterator():
+    for item, text in items.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).where(F.col(text_col).isNotNull()).toLocalIterator():
         rows.append((item, text))
         size += len(text)
         if size >= block_bytes:
@@ -152,12 +152,13 @@ def blocks(items: DataFrame, id_col: str, text_col: str, words_per_edit: int, bl
 HIT = pa.struct([("item_id", pa.int64()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32())])
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", words_per_edit: int = WORDS_PER_EDIT, hits_col: str = "hits") -> DataFrame:
     """docs with a column hits: array of (item_id, first_word, end_word, edits), empty for a clean row; no shuffle.
 
-    All columns stay. Null and empty texts have no hits; items without id or word are never found. Items that occur
-    twice under one id are searched twice. Words are numbered within the row's text, and first_word is the end less the
-    item's length.
+    All columns stay, but for one of that name. Null and empty texts have no hits; items without a word are never found,
+    those without an id are, with a null. Items that occur twice under one id are searched twice. Words are numbered within
+    the row's text, and first_word is the end less the item's length. Each block of items is a pass of its own over the
+    batches, so time and the workers' memory grow with the items' text; it suits benchmarks of up to some hundred MB.
     """
     out = docs
     at = docs.columns.index(text_col)
@@ -165,21 +166,21 @@ def find_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_i
     for number, block in enumerate(blocks(items, item_id_col, item_text_col, words_per_edit)):
         shared = docs.sparkSession.sparkContext.broadcast(block)
 
-        def run(batches, shared=shared, name=f"_hits{number}"):
+        def run(batches, shared=shared, name=f"_leak_hits_{number}"):
             block = shared.value
             patterns = block.patterns()
             for batch in batches:
                 hits = [[] for _ in range(batch.num_rows)]
                 for i, _, data, offsets in K.chunks(batch.column(at).cast(pa.string())):
                     for row, found in block.search(*normal_words(data, offsets), patterns).items():
-                        hits[i + row] = [dict(zip(("item_id", "first_word", "end_word", "edits"), h, strict=True)) for h in sorted(found)]
+                        hits[i + row] = [dict(zip(("item_id", "first_word", "end_word", "edits"), h, strict=True)) for h in sorted(found, key=lambda h: (h[0] is None, h[0] or 0, *h[1:]))]
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(hits, pa.list_(HIT))], names=[*batch.schema.names, name])
 
         kind = "array<struct<item_id:bigint,first_word:bigint,end_word:bigint,edits:int>>"
-        out = out.mapInArrow(run, StructType([*out.schema.fields, *StructType.fromDDL(f"_hits{number} {kind}").fields]))
-        names.append(f"_hits{number}")
+        out = out.mapInArrow(run, StructType([*out.schema.fields, *StructType.fromDDL(f"_leak_hits_{number} {kind}").fields]))
+        names.append(f"_leak_hits_{number}")
     hits = F.concat(*[F.col(n) for n in names]) if names else F.array().cast("array<struct<item_id:bigint,first_word:bigint,end_word:bigint,edits:int>>")
-    return out.withColumn("hits", hits).drop(*names)
+    return out.withColumn(hits_col, hits).drop(*names)
 
 
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -191,4 +192,4 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
 
 def drop_leaks(docs: DataFrame, items: DataFrame, text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of docs in which no item is found."""
-    return find_leaks(docs, items, text_col, item_id_col, item_text_col).where(F.size("hits") == 0).drop("hits")
+    return find_leaks(docs, items, text_col, item_id_col, item_text_col, hits_col="_leak_hits").where(F.size("_leak_hits") == 0).drop("_leak_hits")

@@ -50,3 +50,32 @@ def test_pipeline_like_brute_force(spark):
     assert {d: r.decoded_sha256 for d, r in last.items()} == {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in clean.collect()}
     whole = {r.doc_id: r.ids_sha256 for r in c.run(spark, SF).collect()}
     assert whole == {d: r.ids_sha256 for d, r in last.items()}
+
+
+def test_pipeline_over_hard_rows(spark, tmp_path, rows):
+    """Nulls, empty and long texts, repeated rows, extra columns with clashing names; then tables without a row."""
+    import corpus_pipeline as c
+    from pyspark.sql import functions as F
+
+    good = [(1000 + i, " ".join(f"word{(i * 37 + j * 11) % 5000}" for j in range(150)), "en", "s", 1) for i in range(60)]
+    bad = [(2000 + i, "buy now!!! " * 40 + f"z{i}", "en", "s", 1) for i in range(60)]
+    docs = spark.createDataFrame([*rows, *good, *bad, (3000, "long " + "tail of a text " * 20_000, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    docs = docs.select("*", *[F.lit(7).alias(n) for n in ("k", "th", "runs", "hits", "component", "score", "ids", "payload")])
+    labels = spark.createDataFrame([(1000 + i, 1, 0) for i in range(60)] + [(2000 + i, 0, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(1, good[5][1][:400]), (2, None), (None, "x"), (3, "")], "item_id long, text string")
+    for name, whole in (("full", True), ("empty", False)):
+        folder = f"{tmp_path}/{name}"
+        for table, df in (("documents", docs), ("labels", labels), ("benchmark", items)):
+            (df if whole else df.limit(0)).write.parquet(f"{folder}/{table}.parquet")
+        out = c.run(spark, folder).collect()
+        if not whole:
+            assert out == []
+            continue
+        ids = [r.doc_id for r in out]
+        assert not any(i is not None and 2000 <= i < 2060 for i in ids) and 1005 not in ids
+        assert sum(1000 <= (i or 0) < 1060 for i in ids) == 59
+        kept = docs
+        for _, stage in c.STAGES[:-1]:
+            kept = c.stash(stage(spark, kept, folder), "t")
+            assert kept.columns == docs.columns
+        assert sorted(map(str, ids)) == sorted(str(r.doc_id) for r in kept.collect())
