@@ -1,5 +1,6 @@
 """Classifier, language and rule operators: held-out accuracy, brute force, edge cases."""
 
+import os
 import random
 import re
 from collections import Counter
@@ -227,3 +228,106 @@ def test_kernels_over_segments(monkeypatch):
     monkeypatch.setattr(K, "SEGMENT", 64)
     after = K.byte_ngram_hashes(data, 9), K.ngram_hashes(v, 9), K.word_hashes(data, np.arange(0, 5000, 10), np.arange(5, 5005, 10))
     assert all(np.array_equal(a, b) for a, b in zip(before, after, strict=True))
+
+
+SF = "/root/testdata/sf0.001"
+needs_tables = pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+
+
+def plain_indicators(text):
+    """The classifier's features of a text, by sets and loops."""
+    data, out = (text or "").encode(), set()
+    for n, base in ((3, 0), (4, 1 << 16)):
+        for i in range(len(data) - n + 1):
+            out.add(base + ((int.from_bytes(data[i : i + n]) * 0x9E3779B1 & 0xFFFFFFFF) >> 16))
+    words = data.split()
+    same = sum(a == b for a, b in zip(words, words[1:]))
+    return out | {2 * (1 << 16) + i for i, share in enumerate(quality_nbsvm.SAME) if same > 2 and same > share * (len(words) - 1)}
+
+
+@needs_tables
+def test_quality_query_like_brute_force(spark):
+    """Ratios, optimum, margins and scores of op2 over all documents, by plain loops."""
+    from tesseral.llm import queries
+
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{SF}/labels.parquet").collect() if r.quality is not None and r.doc_id in docs}
+    held = {d: crc32(str(d).encode()) % 5 == 0 for d in docs}
+    rows = {d: plain_indicators(docs[d]) for d in docs}
+    seen = sorted(d for d in labels if not held[d])
+    counts = {1: Counter(), 0: Counter()}
+    for d in seen:
+        counts[labels[d]].update(rows[d])
+    size = quality_nbsvm.SIZE
+    total = {y: sum(c.values()) + size for y, c in counts.items()}
+    ratio = np.array([np.log((counts[1][f] + 1) / total[1]) - np.log((counts[0][f] + 1) / total[0]) for f in range(size)])
+    model = quality_nbsvm.fit(spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/labels.parquet"))
+    w = np.divide(model.weights, ratio, out=np.zeros(size), where=np.abs(ratio) > 1e-12)
+    share = np.mean([labels[d] for d in seen])
+    cost = {1: 0.5 / share, 0: 0.5 / (1 - share)}
+
+    def primal(v, b):
+        loss = 0.0
+        for d in seen:
+            at = np.fromiter(rows[d], int, len(rows[d]))
+            loss += cost[labels[d]] * max(0.0, 1 - (2 * labels[d] - 1) * (v[at] @ ratio[at] / np.sqrt(max(1, len(at))) + b))
+        return v @ v / 2 + b * b / 2 + loss
+
+    best, rng = primal(w, model.bias), np.random.default_rng(0)
+    for _ in range(5):
+        assert best <= primal(w + rng.normal(scale=0.01, size=size) * (w != 0), model.bias + rng.normal(scale=0.01)) + 1e-2
+    got = {r.doc_id: r for r in queries.op2_quality_nbsvm(spark, SF).collect()}
+    assert set(got) == set(docs)
+    for d, r in got.items():
+        at = np.fromiter(rows[d], int, len(rows[d]))
+        margin = (model.weights.astype(np.float32)[at].sum(dtype=np.float64) / np.sqrt(len(at)) if len(at) else 0.0) + model.bias
+        assert r.held_out == held[d] and r.predicted == int(r.score >= 0.3)
+        assert r.score == pytest.approx(1 / (1 + np.exp(-(model.slope * margin + model.offset))), abs=1e-3)
+
+
+@needs_tables
+def test_language_query_like_brute_force(spark):
+    """op3 over all documents: every word's segmentations are summed by a plain table, in logarithms added by document."""
+    from tesseral.llm import queries
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = language_id.fit(docs)
+    table = {piece: model.p[i] for i, piece in enumerate(model.pieces)}
+    known = {}
+
+    def word_log(word):
+        if word not in known:
+            alpha = [np.ones(len(model.langs))] + [np.zeros(len(model.langs)) for _ in word]
+            for end in range(1, len(word) + 1):
+                for start in range(max(0, end - language_id.MAX_WORD - 4), end):
+                    p = table.get(word[start:end])
+                    if p is not None:
+                        alpha[end] = alpha[end] + alpha[start] * p
+            known[word] = np.log(np.maximum(alpha[-1], 1e-300))
+        return known[word]
+
+    got = {r.doc_id: r for r in queries.op3_language_id(spark, SF).collect()}
+    rows = docs.select("doc_id", "text").collect()
+    assert set(got) == {r.doc_id for r in rows}
+    for r in rows:
+        log, letters = np.zeros(len(model.langs)), False
+        for run in re.findall(rb"[A-Za-z\x80-\xff]+", (r.text or "").encode()):
+            cut = [0]
+            while len(run) - cut[-1] > 0:
+                at = len(cut) * language_id.MAX_WORD
+                while at < len(run) and run[at] & 0xC0 == 0x80:
+                    at -= 1
+                cut.append(min(at, len(run)))
+            for a, b in zip(cut, cut[1:]):
+                shown = run[a:b].decode().lower()
+                if any(c.isalpha() for c in shown):
+                    letters = True
+                    log += word_log(b" " + shown.encode())
+        x = got[r.doc_id]
+        assert x.held_out == (crc32(str(r.doc_id).encode()) % 4 == 2)
+        if not letters:
+            assert x.lang_pred == "und" and x.score == 0
+            continue
+        log += model.prior
+        post = np.exp(log - log.max()) / np.exp(log - log.max()).sum()
+        assert x.lang_pred == model.langs[int(post.argmax())] and x.score == pytest.approx(post.max(), abs=1e-6)
