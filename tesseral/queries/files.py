@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..sources import readers, sinks
-from .base import Registry, table
+from .base import Registry, scratch, table
 
 R = Registry()
 query = R.query
 
 
-def scratch(spark) -> str:
-    """An unused folder: in spark.checkpoint.dir, which all nodes share, or a temporary one where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="tesseral-")
-    return f"{root.rstrip('/')}/files-{uuid.uuid4().hex}"
-
-
 def put(df, path: str, column: str = "value") -> str:
     """Each row's text as a file of its own lines."""
     df.select(F.col(column).alias("value")).write.text(path)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import dedup, sampling
 from ..streaming import streams
-from .base import Registry, table
+from .base import Registry, scratch, table
 
 R = Registry()
 query = R.query
@@ -111,11 +109,10 @@ def stream_windows(spark, sf_dir):
     """Extension of STM1 and STM4: tumbling event-time windows, all states after the last trigger."""
     schema = table(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).parquet(_folder(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"windows_{uuid.uuid4().hex}"
     shown = streams.tumbling(events, "ts", "1 day", ["event_type"], [F.count("*").alias("n"), F.sum("value").alias("total")])
-    run = shown.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.table(name).select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
+    folder = scratch(spark)
+    streams.updating(shown, ["window", "event_type"], f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    return streams.current(spark, f"{folder}/table").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
 def _folder(spark, sf_dir, name):

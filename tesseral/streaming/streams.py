@@ -31,21 +31,75 @@ def compact(records: DataFrame, key: str, order: str) -> DataFrame:
     return records.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(key, "_r.*")
 
 
-def compacting(stream: DataFrame, table_path: str, checkpoint: str, key: str, order: str) -> StreamingQuery:
-    """Keeps a table of last records: each batch is merged with the newest version, in a folder of its own per batch."""
+def _versions(spark: SparkSession, table_path: str) -> dict[int, list[int]]:
+    """By bucket the versions that are there, ascending. The table has at most two of each."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(table_path)
+    store = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    out: dict[int, list[int]] = {}
+    for version in store.listStatus(root) if store.exists(root) else ():
+        name = version.getPath().getName()
+        done = spark._jvm.org.apache.hadoop.fs.Path(version.getPath(), "_SUCCESS")
+        if name.startswith("v") and store.exists(done):
+            for bucket in store.listStatus(version.getPath()):
+                if bucket.getPath().getName().startswith("bucket="):
+                    out.setdefault(int(bucket.getPath().getName()[7:]), []).append(int(name[1:]))
+    return {k: sorted(v) for k, v in out.items()}
+
+
+def current(spark: SparkSession, table_path: str, schema: StructType | str | None = None) -> DataFrame:
+    """The rows of a compacted table: each bucket's newest version. Without any, an empty frame of the schema."""
+    paths = [f"{table_path}/v{v[-1]}/bucket={k}" for k, v in sorted(_versions(spark, table_path).items())]
+    if not paths:
+        return spark.createDataFrame([], schema)
+    return (spark.read.schema(schema) if schema else spark.read).parquet(*paths)
+
+
+def merged(batch: DataFrame, number: int, table_path: str, keys: list[str], order: str, buckets: int = 64) -> None:
+    """Merges a batch into a table of last records: only the buckets that hold its keys are written anew.
+
+    A bucket's newest version before the batch stays, so that a batch which is tried again finds what it began with; older
+    ones go.
+    """
+    spark = batch.sparkSession
+    at = F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
+    touched = sorted(r[0] for r in batch.select(at.alias("b")).distinct().collect())  # at most so many buckets
+    before = {k: [v for v in own if v < number] for k, own in _versions(spark, table_path).items() if k in touched}
+    paths = [f"{table_path}/v{v[-1]}/bucket={k}" for k, v in before.items() if v]
+    rows = batch.unionByName(spark.read.schema(batch.schema).parquet(*paths)) if paths else batch
+    rest = [c for c in batch.columns if c not in keys]
+    last = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), order).alias("_r")).select(*keys, "_r.*").select(*batch.columns)
+    last.withColumn("bucket", at).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{table_path}/v{number}")
+    root = spark._jvm.org.apache.hadoop.fs.Path
+    store = root(table_path).getFileSystem(spark._jsc.hadoopConfiguration())
+    for k, own in before.items():
+        for v in own[:-1]:
+            store.delete(root(f"{table_path}/v{v}/bucket={k}"), True)
+
+
+def compacting(stream: DataFrame, table_path: str, checkpoint: str, key: str, order: str, buckets: int = 64) -> StreamingQuery:
+    """Keeps a table of last records, to be read by current()."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        last = f"{table_path}/v{number - 1}"
-        rows = batch if number == 0 else batch.unionByName(spark.read.schema(batch.schema).parquet(last))
-        compact(rows, key, order).select(*batch.columns).write.mode("overwrite").parquet(f"{table_path}/v{number}")
+        merged(batch, number, table_path, [key], order, buckets)
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def running(stream: DataFrame, keys: list, aggregates: list, name: str, checkpoint: str) -> StreamingQuery:
-    """The whole aggregate after each trigger, in a table in memory."""
-    return stream.groupBy(*keys).agg(*aggregates).writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def running(stream: DataFrame, keys: list[str], aggregates: list, table_path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """The aggregate after each trigger, in a table to be read by current(): only the groups that a trigger changes are written.
+
+    keys are columns of the stream, or a window's name. Nothing of it is held by the driver.
+    """
+    return updating(stream.groupBy(*keys).agg(*aggregates), keys, table_path, checkpoint, buckets)
+
+
+def updating(grouped: DataFrame, keys: list[str], table_path: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """The rows of a grouped stream as they stand after each trigger."""
+
+    def merge(batch: DataFrame, number: int) -> None:
+        merged(batch.withColumn("_trigger", F.lit(number).cast("long")), number, table_path, keys, "_trigger", buckets)
+
+    return grouped.writeStream.foreachBatch(merge).outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def tumbling(events: DataFrame, ts: str, size: str, keys: list[str], aggregates: list, late: str = "1 day") -> DataFrame:

@@ -36,15 +36,33 @@ def test_compaction(spark, tmp_path):
     run()
     put(tmp_path / "in", "b.json", [{"id": "a", "step": 9, "score": 5.0}])
     run()
-    got = spark.read.parquet(str(tmp_path / "t/v1"))
-    assert {r.id: r.score for r in got.collect()} == {"a": 5.0, "b": 1.0}
+    shown = lambda: {r.id: r.score for r in streams.current(spark, str(tmp_path / "t")).collect()}
+    assert shown() == {"a": 5.0, "b": 1.0}
+    many = [f"k{i}" for i in range(300)]
+    for n in range(2, 6):
+        put(tmp_path / "in", f"c{n}.json", [{"id": k, "step": n, "score": float(n)} for k in many[:: n - 1]])
+        run()
+    want = {"a": 5.0, "b": 1.0} | {k: float(max(n for n in range(2, 6) if i % (n - 1) == 0)) for i, k in enumerate(many)}
+    assert shown() == want
+    versions = streams._versions(spark, str(tmp_path / "t"))
+    assert max(len(v) for v in versions.values()) <= 2 and len(versions) > 20
+    batch = spark.createDataFrame([("a", 10, 7.0)], "id string, step int, score double")
+    for _ in range(2):  # a batch that is tried again
+        streams.merged(batch.select("id", "step", "score"), 9, str(tmp_path / "u"), ["id"], "step")
+    assert streams.current(spark, str(tmp_path / "u")).collect() == batch.collect()
+    assert streams.current(spark, str(tmp_path / "none"), "id string").count() == 0
 
 
 def test_running_and_windows(spark, tmp_path):
     put(tmp_path / "in", "a.json", rows("a", "b") + rows("c", day=3))
     stream = streams.read_stream(spark, str(tmp_path / "in"), SCHEMA)
-    streams.running(stream, ["run"], [F.count("*").alias("n")], "run_counts", str(tmp_path / "cp")).awaitTermination()
-    assert [(r.run, r.n) for r in spark.table("run_counts").collect()] == [("r", 3)]
+    run = lambda: streams.running(stream, ["run"], [F.count("*").alias("n")], str(tmp_path / "counts"), str(tmp_path / "cp")).awaitTermination()
+    run()
+    assert [(r.run, r.n) for r in streams.current(spark, str(tmp_path / "counts")).collect()] == [("r", 3)]
+    put(tmp_path / "in", "b.json", rows("d") + [{"id": "e", "run": "s"}])
+    run()
+    assert {(r.run, r.n) for r in streams.current(spark, str(tmp_path / "counts")).collect()} == {("r", 4), ("s", 1)}
+    (tmp_path / "in/b.json").unlink()
     batch = spark.read.schema(SCHEMA).json(str(tmp_path / "in"))
     assert sorted(r.n for r in streams.tumbling(batch, "ts", "1 day", [], [F.count("*").alias("n")]).collect()) == [1, 2]
     assert streams.sliding(batch, "ts", "2 days", "1 day", [], [F.count("*").alias("n")]).count() == 4
