@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import cwe, text
 from ..functions.code import hash_embedding
 from ..functions.stats import cosine, dot, minus, unit
-from ..operators import findings, retrieval, reward
+from ..operators import findings, retrieval, reward, variants
 from .base import Registry, table
 
 R = Registry()
@@ -298,6 +298,16 @@ def signed_token_weights(spark, sf_dir):
     return j.groupBy("doc_id").agg((F.sum((F.col("s") - F.col("own")) / F.greatest(F.lit(1.0), F.col("n") - 1)) / F.sqrt(F.greatest(F.lit(1), F.count("*")))).alias("x")).select("doc_id", F.round("x", 5).alias("lexproto"))
 
 
+@query()
+def variant_evaluation(spark, sf_dir):
+    """TXT12-13: all eight variants; a vector and the next one, with the texts of their ids, as the sides of a pair."""
+    e, d = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    side = lambda shift, text, vector: e.join(d, F.col("vec_id") == F.col("doc_id")).select((F.col("vec_id") - shift).alias("id"), F.col("t").alias(text), unit(F.transform("embedding", lambda x: x.cast("double"))).alias(vector), *([F.col("label").cast("string").alias("cwe")] if not shift else []))
+    pairs = side(0, "e_pos", "pos").join(side(1, "e_neg", "neg"), "id").where("id % 2 = 0")
+    r6 = lambda c: F.round(c, 6).alias(c)
+    return variants.evaluate(pairs).select("variant", r6("auc_cross"), r6("auc_in"), r6("std"), r6("twin"))
+
+
 @query()
 def hash_embedding_vectors(spark, sf_dir):
     """TXT11."""
