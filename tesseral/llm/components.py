@@ -12,22 +12,24 @@ from pyspark.sql import functions as F
 from .common import drop_stash, stash
 
 ROUNDS = 50
+#: Rows of a step's table in one task, about; few rows in many tasks cost more than they bring.
+TASK_ROWS = 20_000
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every larger neighbour of an id is linked to the id's least neighbour, or to the id if that is less."""
     both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = stash(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")), "least")
-    out = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+    least = stash(both.groupBy("u").agg(F.least("u", F.min("v")).alias("m")).coalesce(tasks), "least")
+    out = stash(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks), "edges")
     drop_stash(least)
     return out
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Every smaller neighbour of an id, and the id, are linked to the least of them. Edges point from the larger id."""
-    least = stash(edges.groupBy("u").agg(F.min("v").alias("m")), "least")
+    least = stash(edges.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "least")
     linked = edges.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    out = stash(linked.unionAll(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+    out = stash(linked.unionAll(least.select("u", F.col("m").alias("v"))).distinct().coalesce(tasks), "edges")
     drop_stash(least)
     return out
 
@@ -46,8 +48,9 @@ def components(edges: DataFrame) -> DataFrame:
         if turn == ROUNDS:
             raise RuntimeError(f"components are not found after {ROUNDS} rounds")
         seen = state
-        large = _large_star(now)
-        after = _small_star(large)
+        tasks = max(8, state["n"] // TASK_ROWS + 1)
+        large = _large_star(now, tasks)
+        after = _small_star(large, tasks)
         drop_stash(now, large)
         now = after
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
