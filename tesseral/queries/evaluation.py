@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import cwe
 from ..functions.stats import safe_ratio, wilson
-from ..operators import metrics, stats
+from ..operators import metrics, sampling, stats
 from .base import Registry, table
 
 R = Registry()
@@ -142,10 +142,8 @@ r AS (SELECT *, row_number() OVER (ORDER BY p, p_partkey) AS rank, count(*) OVER
 SELECT p_partkey, round(p, 8) AS p, CAST(rank AS BIGINT) AS rank, round(least(1.0, min(p * n / rank) OVER (ORDER BY rank ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS q FROM r""")
 def bh_fdr(spark, sf_dir):
     """WIN7."""
-    from pyspark.sql import Window
-
-    part = table(spark, sf_dir, "part")
-    share = F.row_number().over(Window.orderBy("p_retailprice", "p_partkey")) / (F.count("*").over(Window.partitionBy()) + F.lit(1.0))
+    share = F.col("_rank") / (F.col("_n") + F.lit(1.0))
+    part = sampling.ranked(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), [], ["p_retailprice", "p_partkey"])
     found = stats.benjamini_hochberg(part.select("p_partkey", (share * share).alias("p")), "p", ["p_partkey"])
     return found.select("p_partkey", F.round("p", 8).alias("p"), F.col("rank").cast("long").alias("rank"), F.round("q", 6).alias("q"))
 

@@ -111,7 +111,7 @@ def stream_windows(spark, sf_dir):
     events = spark.readStream.schema(schema).parquet(_folder(spark, sf_dir, "events")).withColumn("ts", F.col("ts").cast("timestamp"))
     shown = streams.tumbling(events, "ts", "1 day", ["event_type"], [F.count("*").alias("n"), F.sum("value").alias("total")])
     folder = scratch(spark)
-    streams.updating(shown, ["window", "event_type"], f"{folder}/table", f"{folder}/checkpoint").awaitTermination()
+    streams.updating(shown, ["window", "event_type"], f"{folder}/table", f"{folder}/checkpoint", buckets=8).awaitTermination()
     return streams.current(spark, f"{folder}/table").select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("day"), "event_type", "n", F.round("total", 2).alias("total"))
 
 
