@@ -29,7 +29,7 @@ from .components import components
 
 SLOTS, CHUNK, MAX_DIFFERENT = 48, 4, 23
 #: Members of a bucket on either side of one task's comparisons, and rows of a hot set that one task verifies.
-BLOCK = 2048
+BLOCK = 1024
 SALT_ROWS = 512
 #: Least hashes of a set that stand for it where buckets span components; smaller sets are held whole.
 SKETCH = 256
