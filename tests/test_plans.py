@@ -77,3 +77,13 @@ def test_report(spark):
     got = {(x.target_cwe, x.language, x.metric): x.value for x in out["rates"].collect()}
     assert got[None, None, "compile_at_1"] == 1 / 3 and got["CWE-79", None, "compile_at_1"] == 0.5 and got["CWE-79", "c", "func_sec_at_1"] == 0.5
     assert out["diagnostics"].first().n == 3
+
+
+def test_corpus_build_keeps_its_plans_short(spark):
+    """The driver describes each plan it runs; a plan that holds those of all steps before it is too large for its memory."""
+    frame = spark.createDataFrame([(f"t{i:03}", "s", "c", "CWE-787", f"text {i} " * 9, None, None, {}) for i in range(30)], PROMPT)
+    held = spark.createDataFrame([("e", "e", "c", "CWE-787", "held out", None, None, {})], PROMPT)
+    got = build_corpus([frame], [held], 25, "v1", 0.2)
+    for name, df in got.items():
+        assert len(df._jdf.queryExecution().toString()) < 100_000, name
+    assert got["train"].count() + got["val"].count() <= 25 and len(got["manifest"].collect()) == 9
