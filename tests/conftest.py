@@ -25,3 +25,18 @@ def spark(tmp_path_factory):
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
+
+
+@pytest.fixture
+def duck_over():
+    """A function of (folder, SQL, columns): the rows that DuckDB gives over the folder's tables."""
+    import duckdb
+
+    def run(folder, sql, columns):
+        con = duckdb.connect()
+        for name in sorted(os.listdir(folder)):
+            path = f"{folder}/{name}" + ("/*.parquet" if os.path.isdir(f"{folder}/{name}") else "")
+            con.execute(f"CREATE VIEW {name.removesuffix('.parquet')} AS SELECT * FROM read_parquet('{path}')")
+        return con.execute(f"SELECT {columns} FROM ({sql})").fetchall()
+
+    return run

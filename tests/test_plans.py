@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tesseral.functions import code
 from tesseral.operators import corpus
 from tesseral.plans.reports import build_corpus, evaluation_report
+from tesseral.queries import corpus as corpus_queries
 from tesseral.sources.readers import PAIR, PROMPT
 
 
@@ -87,3 +88,12 @@ def test_corpus_build_keeps_its_plans_short(spark):
     for name, df in got.items():
         assert len(df._jdf.queryExecution().toString()) < 100_000, name
     assert got["train"].count() + got["val"].count() <= 25 and len(got["manifest"].collect()) == 9
+
+
+def test_corpus_build_steps_keep_texts_apart_that_parse_alike(spark, duck_over, tmp_path):
+    """Two words are two texts, though both are one name to Python's parser; the SQL has no parser."""
+    docs = [(0, "alpha"), (15, "beta"), (30, "Alpha  # again"), (3, "x = 1"), (18, "y = 1"), (1, "other words"), (7, "beta")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(2, "gamma")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {tuple(r) for r in corpus_queries.corpus_build_steps(spark, str(tmp_path)).select("place", "step", "n").collect()}
+    assert got == set(duck_over(str(tmp_path), corpus_queries.R.oracles["corpus_build_steps"], "place, step, n"))
