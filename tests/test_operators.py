@@ -1,5 +1,7 @@
 """Operators on small frames with hand-made values."""
 
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -284,3 +286,19 @@ def test_closest_texts(spark):
     asked = spark.createDataFrame([(7, "def f(a): return a + 1"), (8, "nothing alike"), (9, "other words here")], "query_id long, text string")
     got = {x.query_id: x for x in retrieval.closest_texts(asked, "query_id", docs, "id", "text", text.retrieval_tokens("text"), text.string_normalize("text"), 5).collect()}
     assert set(got) == {7, 9} and got[7].best == 1 and got[7].nearest == 1 and got[7].best_ast == 1 and got[9].nearest == 3 and got[9].best_ast is None
+
+
+def test_bm25_top_k_like_all_scores(spark, monkeypatch):
+    """The same first documents as by scores of all pairs, in blocks of queries; no row for each query and document is shuffled."""
+    r = random.Random(3)
+    texts = [" ".join(r.choice("abcdefghij") * r.randrange(1, 4) for _ in range(r.randrange(0, 30))) for _ in range(200)]
+    texts += texts[:40] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    asked = docs.where("id % 10 = 0").withColumnRenamed("id", "q")
+    tokens = F.filter(F.split("text", " "), lambda x: x != "")
+    monkeypatch.setattr(retrieval, "QUERIES", 9)
+    monkeypatch.setattr(retrieval, "DENSE", 3)
+    whole, figures = retrieval.index_postings(docs, "id", tokens)
+    want = {(x.q, x.id, round(x.score, 6), x.rank) for x in retrieval.top_k(retrieval.bm25(asked, "q", tokens, whole, figures), "q", 5).collect()}
+    got = retrieval.bm25_top_k(docs, "id", asked, "q", tokens, 5)
+    assert {(x.query_id, x.id, round(x.score, 6), x.rank) for x in got.collect()} == want
