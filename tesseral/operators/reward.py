@@ -32,9 +32,18 @@ def reliability(compiles, runs, output, passed, total, c: RewardConfig = DEFAULT
     return F.when(col(total) > 0, flags + F.lit(c.functional) * col(passed) / col(total)).otherwise(flags * F.lit((three + c.functional) / three))
 
 
+def summed(value: Column) -> Column:
+    """The sum of a few doubles from the greatest down, the same in whatever order the rows come; null without any.
+
+    In some orders a sum of doubles is above 1, and then clipped, in others it is 1.
+    """
+    found = F.reverse(F.array_sort(F.collect_list(value)))
+    return F.when(F.size(found) > 0, F.aggregate(found, F.lit(0.0), lambda t, x: t + x))
+
+
 def penalties(findings: DataFrame, key: str) -> DataFrame:
     """Per completion the sum of severity / 10 * confidence, and the number of findings."""
-    return findings.groupBy(key).agg(F.sum(F.col("severity") / 10 * F.col("confidence")).alias("penalty"), F.count("*").alias("n_findings"))
+    return findings.groupBy(key).agg(summed(F.col("severity") / 10 * F.col("confidence")).alias("penalty"), F.count("*").alias("n_findings"))
 
 
 def security(compiles, penalty) -> Column:

@@ -1,5 +1,8 @@
 """Operators on small frames with hand-made values."""
 
+import functools
+import itertools
+import operator
 import random
 
 import numpy as np
@@ -302,3 +305,14 @@ def test_bm25_top_k_like_all_scores(spark, monkeypatch):
     want = {(x.q, x.id, round(x.score, 6), x.rank) for x in retrieval.top_k(retrieval.bm25(asked, "q", tokens, whole, figures), "q", 5).collect()}
     got = retrieval.bm25_top_k(docs, "id", asked, "q", tokens, 5)
     assert {(x.query_id, x.id, round(x.score, 6), x.rank) for x in got.collect()} == want
+
+
+def test_penalties_in_any_order(spark):
+    """A sum of doubles depends on their order; the rows' order decides nothing."""
+    parts, sums = [0.1, 0.2, 0.3, 0.4, 0.7], set()
+    for order in (parts, parts[::-1], [0.7, 0.1, 0.4, 0.2, 0.3], [0.3, 0.7, 0.2, 0.1, 0.4]):
+        f = spark.createDataFrame([(1, 10.0, x) for x in order], "id long, severity double, confidence double").coalesce(1)
+        sums.add(reward.penalties(f, "id").first()["penalty"])
+    assert len(sums) == 1 and len({functools.reduce(operator.add, o) for o in itertools.permutations(parts)}) > 1
+    odd = spark.createDataFrame([(2, None, 1.0), (3, 5.0, 0.5)], "id long, severity double, confidence double")
+    assert {r.id: r.penalty for r in reward.penalties(odd, "id").collect()} == {2: None, 3: 0.25}
