@@ -1,8 +1,8 @@
 """Quality rules: counts of each text, and the hashed n-gram log-likelihood ratio of a trusted target to the raw corpus.
 
-Both multinomials are over hashed byte 4-grams. The raw one counts all documents; the target is fitted on a bounded draw
-of rows that a label trusts. A text's score is its mean log ratio per n-gram; the threshold is a quantile of the trusted
-rows' scores, so every document's verdict is fixed by the tables alone.
+Both multinomials are over hashed byte 4-grams. The raw one counts all documents, the target all that a label trusts. A
+text's score is its mean log ratio per n-gram; the threshold is a quantile of all trusted rows' scores, so every
+document's verdict is fixed by the tables alone.
 """
 
 from __future__ import annotations
@@ -15,12 +15,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .common import text_of
-from .features import BITS, buckets, sample
+from .common import drop_stash, stash, text_of
+from .features import BITS, buckets
 
 SIZE = 1 << BITS
-#: Trusted rows that the target multinomial is fitted on, at most about so many.
-TARGET_ROWS = 20_000
 #: The part of the trusted rows that the threshold may refuse, and how much below their quantile it lies, as a part of their spread.
 REFUSED = 0.005
 MARGIN = 0.25
@@ -63,12 +61,47 @@ def _counts(texts: DataFrame) -> np.ndarray:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", rows: int = TARGET_ROWS, seed: int = 10) -> Ratio:
-    """Without trusted rows all weights are 0 and every score equals the threshold, so the rules alone decide."""
-    trusted = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL").groupBy("id").agg(F.min("y").alias("y")).where("y = 1")
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Doubles' bits as integers in the doubles' order; the sign bit stays, so a second call on the bits undoes it."""
+    bits = values.view(np.int64)
+    return bits ^ ((bits >> 63) & np.int64(2**63 - 1))
+
+
+def _at_ranks(keys: DataFrame, ranks: list[int]) -> list[int]:
+    """The keys at these ranks of their order, from 0: 16 bits a pass, so the driver gets counts, at most 65,536 a rank."""
+    found = [(0, rank) for rank in ranks]
+    for shift in (48, 32, 16, 0):
+        top = keys.select(F.shiftright("key", shift).alias("top"))
+        if shift < 48:
+            top = top.where(F.shiftright("top", 16).isin(sorted({prefix for prefix, _ in found})))
+        got = top.groupBy("top").agg(F.count("*").alias("n")).toArrow().sort_by("top")
+        tops, counts = got.column("top").to_numpy(), got.column("n").to_numpy()
+        for i, (prefix, rank) in enumerate(found):
+            inside = np.flatnonzero(tops >> 16 == prefix) if shift < 48 else np.arange(len(tops))
+            ends = np.cumsum(counts[inside])
+            at = np.searchsorted(ends, rank, side="right")
+            found[i] = int(tops[inside[at]]), rank - int(ends[at - 1] if at else 0)
+    return [key for key, _ in found]
+
+
+def _quantiles(keys: DataFrame, parts: list[float]) -> list[float]:
+    """Exact quantiles of the doubles behind _ordered keys, between two of them in proportion, as numpy's."""
+    n = keys.count()
+    places = [part * (n - 1) for part in parts]
+    ranks = [min(n - 1, int(place) + more) for place in places for more in (0, 1)]
+    values = _ordered(np.array(_at_ranks(keys, ranks), np.int64)).view(np.float64)
+    return [float(np.quantile(values[2 * i : 2 * i + 2], place - int(place))) for i, place in enumerate(places)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Ratio:
+    """Without trusted rows all weights are 0 and every score equals the threshold, so the rules alone decide.
+
+    Counts and threshold are of all trusted rows. Their number is not bounded, so their ids are joined by a shuffle: once
+    with the texts, which are counted, and once with the scores.
+    """
+    trusted = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("y")).where("id IS NOT NULL").groupBy("id").agg(F.min("y").alias("y")).where("y = 1").select("id")
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
-    target_rows = sample(texts, trusted, rows, seed, "id").select("text")
-    raw, target = _counts(texts.select("text")), _counts(target_rows)
+    raw, target = _counts(texts.select("text")), _counts(texts.join(trusted.hint("shuffle_hash"), "id", "left_semi").select("text"))
     if not target.sum():
         return Ratio(np.zeros(SIZE), 0.0)
     smooth = 0.5
@@ -77,14 +110,15 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def run(batches):
         for batch in batches:
-            for _, _, data, offsets in K.chunks(batch.column(0)):
+            for i, j, data, offsets in K.chunks(batch.column(1)):
                 long = offsets[1:] - offsets[:-1] >= 4
-                yield pa.RecordBatch.from_arrays([pa.array(ratio.scores(data, offsets)[long])], names=["score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i).filter(pa.array(long)), pa.array(_ordered(ratio.scores(data, offsets)[long]))], names=["id", "key"])
 
-    scores = np.sort(target_rows.mapInArrow(run, "score double").toArrow().column("score").to_numpy())
-    if len(scores):
-        low = float(np.quantile(scores, REFUSED))
-        ratio.threshold = low - MARGIN * (float(np.median(scores)) - low)
+    scored = texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, key long")
+    keys = stash(scored.join(trusted.hint("shuffle_hash"), "id", "left_semi").select("key"), "trusted-scores")
+    low, middle = _quantiles(keys, [REFUSED, 0.5])
+    drop_stash(keys)
+    ratio.threshold = low - MARGIN * (middle - low)
     return ratio
 
 

@@ -199,6 +199,38 @@ def test_rules_without_trusted_rows(spark):
     assert quality_rules.judge(df.limit(0), ratio).count() == 0
 
 
+def test_rules_fit_on_all_trusted_rows(spark):
+    """No number of trusted rows is too high for the counts and the threshold to be of all of them."""
+    df = spark.range(0, 30_000, 1, 3).selectExpr("id AS doc_id", "concat_ws(' ', 'all', md5(cast(id AS string)), if(id % 7 = 0, repeat('x', 20), '')) AS text")
+    labels = spark.range(0, 30_000, 1, 2).selectExpr("id AS doc_id", "int(id % 10 > 0) AS quality").unionAll(spark.createDataFrame([(None, 1), (3, 0), (8, None), (90_000, 1)], "doc_id long, quality int"))
+    ratio = quality_rules.fit(df, labels)
+    texts = dict(df.collect())
+    good = [i for i in texts if i % 10 and i != 3]
+    assert len(good) > 20_000
+
+    def counts(ids):
+        data = [quality_rules.buckets(np.frombuffer(texts[i].encode(), np.uint8), 4) for i in ids]
+        return np.bincount(np.concatenate(data), minlength=quality_rules.SIZE) + 0.5
+
+    raw, target = counts(texts), counts(good)
+    assert np.allclose(ratio.weights, np.log(target / target.sum()) - np.log(raw / raw.sum()), rtol=0, atol=1e-9)
+    scores = [r.score for r in quality_rules.judge(df, ratio).collect() if r.doc_id in set(good)]
+    low = np.quantile(scores, quality_rules.REFUSED)
+    assert np.isclose(ratio.threshold, low - quality_rules.MARGIN * (np.median(scores) - low), rtol=1e-9)
+    assert np.array_equal(quality_rules.fit(df.repartition(5, "text"), labels.repartition(3)).weights, ratio.weights)
+
+
+def test_quantiles_like_numpy(spark):
+    r = np.random.default_rng(3)
+    for values in ([-0.25], [2.0, -1.0], [0.0] * 5, r.normal(size=1000), np.round(r.normal(size=3000), 1), r.normal(size=200) * 1e-300, [-1e308, 1e308, 0.5, -0.0, 5e-324]):
+        values = np.array(values, np.float64)
+        keys = quality_rules._ordered(values)
+        assert np.array_equal(quality_rules._ordered(keys.view(np.float64)).view(np.float64), values)
+        df = spark.createDataFrame([(int(k),) for k in keys], "key long")
+        got = quality_rules._quantiles(df, [0.005, 0.5, 1.0])
+        assert np.allclose(got, np.quantile(values, [0.005, 0.5, 1.0]), rtol=1e-15, atol=0)
+
+
 def test_words_and_hashes():
     texts = ["a  b\tc", "", None, "d", " e f ", "été ça"]
     data, offsets = K.flat(pa.array(texts))
